@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from ebbflow.llm import chat, mixing
+from ebbflow.llm import bpe, chat, mixing, tokenfiles
 
 QUERIES = {
     "op2_mix_sources": mixing.op2_mix_sources,
     "op3_chat_format": chat.op3_chat_format,
+    "op8_token_files": tokenfiles.op8_token_files,
+    "op10_bpe_roundtrip": bpe.op10_bpe_roundtrip,
 }
 
 ORACLES = {

@@ -9,6 +9,10 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
+
+from ebbflow import workers
 
 #: Words of the digest contracts: runs of characters other than space and U+0009 to U+000D.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
@@ -19,16 +23,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Writes ``df`` once to the shared checkpoint folder and cuts its lineage.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share: the cluster's ``spark.checkpoint.dir``.
 
-    The folder is the cluster's ``spark.checkpoint.dir``. Only where neither that setting nor a folder is set, as in
-    tests on one machine, a temporary one is made.
+    Only where neither that setting nor a checkpoint folder is set, as in tests on one machine, a temporary one is made.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ebbflow-"))
+    found = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if not found.isDefined():
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ebbflow-"))
+        found = spark.sparkContext._jsc.sc().getCheckpointDir()
+    return found.get()
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Writes ``df`` once to the shared folder and cuts its lineage."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
@@ -47,9 +56,8 @@ def map_arrow(df: DataFrame, work: Callable[[dict[str, list]], dict[str, list]],
 
     A batch holds as many rows and bytes as the session's Arrow limits allow, so memory doesn't grow with a partition.
     """
-    out = df.sparkSession.createDataFrame([], schema).schema if isinstance(schema, str) else schema
-    from pyspark.sql.pandas.types import to_arrow_schema
-
+    workers.reach(df.sparkSession)
+    out = StructType.fromDDL(schema)
     arrow = to_arrow_schema(out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
