@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from ebbflow.llm import bpe, chat, mixing, tokenfiles
+from ebbflow.llm import bpe, chat, langid, mixing, tokenfiles, toxicity
 
 QUERIES = {
+    "op1_language_id": langid.op1_language_id,
     "op2_mix_sources": mixing.op2_mix_sources,
     "op3_chat_format": chat.op3_chat_format,
     "op8_token_files": tokenfiles.op8_token_files,
+    "op9_toxicity": toxicity.op9_toxicity,
     "op10_bpe_roundtrip": bpe.op10_bpe_roundtrip,
 }
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -67,3 +68,20 @@ def map_arrow(df: DataFrame, work: Callable[[dict[str, list]], dict[str, list]],
                 yield pa.RecordBatch.from_arrays([pa.array(got[f.name], type=f.type) for f in arrow], schema=arrow)
 
     return df.mapInArrow(run, out)
+
+
+_KEPT: dict[str, object] = {}
+
+
+def fresh() -> str:
+    """A name for something that workers build once."""
+    return uuid.uuid4().hex
+
+
+def once(name: str, build: Callable[[], object]):
+    """What ``build`` made the first time that this worker asked for ``name``; the latest few are kept."""
+    if name not in _KEPT:
+        while len(_KEPT) >= 4:
+            _KEPT.pop(next(iter(_KEPT)))
+        _KEPT[name] = build()
+    return _KEPT[name]
