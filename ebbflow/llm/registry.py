@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from ebbflow.llm import bpe, chat, gif, langid, mixing, tokenfiles, toxicity
+from ebbflow.llm import bpe, chat, gif, langid, mixing, simhash, tokenfiles, toxicity
 
 QUERIES = {
     "op1_language_id": langid.op1_language_id,
     "op2_mix_sources": mixing.op2_mix_sources,
     "op3_chat_format": chat.op3_chat_format,
+    "op4_simhash": simhash.op4_simhash,
     "op5_gif_media": gif.op5_gif_media,
     "op8_token_files": tokenfiles.op8_token_files,
     "op9_toxicity": toxicity.op9_toxicity,
