@@ -6,8 +6,9 @@ Parquet and read again for the next one. All but the last return the columns of
 1. language: rejects documents without language (null texts, texts without a letter) and those whose language is
    unclear (score under ``LEAST_LANGUAGE_SCORE``). The model is fitted on the labelled rows of the stage's input.
 2. toxicity: rejects documents that a model fitted on ``labels`` finds toxic.
-3. near_duplicates: links fingerprints of 5-word shingles that differ in at most two bits and keeps one document of each
-   group, the one with the smallest id; documents without an id are all kept.
+3. near_duplicates: links documents whose sets of 5-word shingles have a similarity of 0.8 or more, found by SimHash
+   fingerprints, and keeps one document of each group, the one with the smallest id; documents without an id are all
+   kept.
 4. mixing: gives each source its target weight; a document is kept as often as the mix takes its words, rounded to
    whole documents.
 5. tokens: encodes and decodes what is left; one row a document with its token count and digests.
@@ -27,7 +28,7 @@ from ebbflow.llm import bpe, langid, mixing, simhash, support, toxicity
 
 #: Clean one-word texts score above it; with four languages 0.25 is no evidence at all.
 LEAST_LANGUAGE_SCORE = 0.3
-SHINGLE_WORDS = 5
+SHINGLE_WORDS, SIMILARITY = 5, 0.8
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,7 +43,7 @@ def no_toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    groups = simhash.near_duplicates(docs, shingle=SHINGLE_WORDS)
+    groups = simhash.similar_documents(docs, shingle=SHINGLE_WORDS, similarity=SIMILARITY)
     gone = groups.filter("doc_id <> component_id").select(F.col("doc_id").alias("gone_id")).distinct()
     return docs.join(gone, docs["doc_id"] == gone["gone_id"], "left_anti").select(*docs.columns)
 

@@ -16,6 +16,15 @@ are reduced to a spanning forest of the group before they leave the task. Copies
 distinct fingerprint), so neither copies nor dense groups are expanded into pairs. Components of the links are found
 by iterative joins, and every document takes the component of its fingerprint.
 
+``similar_documents`` serves a similarity instead of a number of bits: documents are linked if the sets of their
+shingles have a Jaccard similarity of at least ``similarity``. Fingerprints of whole texts can't decide this alone: at 0.8
+they differ in up to 17 bits of 64 (measured). So each text also gets ``SAMPLES`` sample fingerprints, SimHashes of the
+``SAMPLE`` shingles that come first in as many hashed orders; two texts of similarity s share one with probability
+1 - (1 - s**4)**14 or about, 0.9994 at 0.8. Texts whose fingerprints link at an anchor, or that share a sample
+fingerprint, are candidates. A group of texts with one sample fingerprint is not expanded into pairs: small groups are
+compared fully, large ones along a chain and with their first, in an order that differs between samples. Candidates count
+only if the exact similarity of their shingle sets confirms them.
+
 Defined results: null, empty and wordless texts share fingerprint zero and are linked like any other; rows with a null
 id can't name a component and are named by the smallest other id they reach, else null; equal rows stay separate rows; an
 empty table gives no rows; other columns are ignored, whatever their names.
@@ -41,28 +50,60 @@ LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 SEED, THRESHOLD = 42, 2
 #: Shingles that are hashed at once, which bounds memory for long texts.
 AT_ONCE = 1 << 16
+#: Sample fingerprints of a text, and shingles in each.
+SAMPLES, SAMPLE = 14, 4
+#: Groups up to this size are compared fully.
+SMALL_GROUP = 8
 #: Rows of a group that are compared with the whole group at once.
 BLOCK = 512
 
 
-def fingerprint(text: str | None, shingle: int = 3) -> int:
-    """The fingerprint as an unsigned number."""
-    words = WORD.findall((text or "").encode().translate(LOWER))
+def words_of(text: str | None) -> list[bytes]:
+    return WORD.findall((text or "").encode().translate(LOWER))
+
+
+def shingle_hashes(words: list[bytes], shingle: int) -> Iterator[np.ndarray]:
+    """The hashes of all shingles in order, ``AT_ONCE`` at a time."""
     if not words:
-        return 0
+        return
     joined = memoryview(b" ".join(words))
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
     k = min(shingle, len(words))
     starts, ends = starts[: len(words) - k + 1].tolist(), ends[k - 1 :].tolist()
-    digest, n = xxhash.xxh64_intdigest, len(starts)
-    counts = np.zeros(64, np.int64)
-    for i in range(0, n, AT_ONCE):
-        hashes = np.array([digest(joined[a:b], SEED) for a, b in zip(starts[i : i + AT_ONCE], ends[i : i + AT_ONCE])], np.uint64)
-        counts += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    digest = xxhash.xxh64_intdigest
+    for i in range(0, len(starts), AT_ONCE):
+        yield np.array([digest(joined[a:b], SEED) for a, b in zip(starts[i : i + AT_ONCE], ends[i : i + AT_ONCE])], np.uint64)
+
+
+def majority(hashes: Iterator[np.ndarray]) -> int:
+    """The fingerprint of hashes, as an unsigned number."""
+    counts, n = np.zeros(64, np.int64), 0
+    for part in hashes:
+        counts += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        n += len(part)
     return int(np.packbits(2 * counts > n, bitorder="little").view(np.uint64)[0])
 
 
+def fingerprint(text: str | None, shingle: int = 3) -> int:
+    """The fingerprint of a text as an unsigned number."""
+    return majority(shingle_hashes(words_of(text), shingle))
+
+
+ORDERS = [np.uint64(xxhash.xxh64_intdigest(b"order %d" % k) | 1) for k in range(SAMPLES)]
+
+
+def samples(hashes: np.ndarray) -> list[int]:
+    """The sample fingerprints of distinct hashes, as signed numbers that differ between samples."""
+    out = []
+    for k, order in enumerate(ORDERS):
+        mixed = (hashes ^ (order >> np.uint64(1))) * order
+        mixed = (mixed ^ (mixed >> np.uint64(32))) * order
+        first = hashes if len(hashes) <= SAMPLE else hashes[np.argpartition(mixed, SAMPLE - 1)[:SAMPLE]]
+        out.append(xxhash.xxh64_intdigest(np.array([majority([first]), int(np.bitwise_xor.reduce(first)) if len(first) else 0, k], np.uint64).tobytes()))
+    return np.array(out, np.uint64).view(np.int64).tolist()
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
     """(doc_id, fp) with the fingerprint as a signed 64-bit number."""
 
@@ -185,6 +226,100 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return marked.join(placed, marked["fp"] == placed["of"]).select("doc_id", "fp", "component_id")
 
 
+def _meet(keyed: DataFrame) -> DataFrame:
+    """(key, name) to candidate pairs (u, v): who shares a key, see ``similar_documents``."""
+    arrow = pa.schema([("u", pa.int64()), ("v", pa.int64())])
+
+    def pairs(key: np.ndarray, name: np.ndarray) -> pa.RecordBatch:
+        begins = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+        first = np.repeat(begins, np.diff(np.append(begins, len(key))))
+        size = np.repeat(np.diff(np.append(begins, len(key))), np.diff(np.append(begins, len(key))))
+        u, v = [], []
+        for lag in range(1, SMALL_GROUP):
+            at = np.flatnonzero((np.arange(len(key)) - first >= lag) & ((size <= SMALL_GROUP) | (lag == 1)))
+            u.append(name[at - lag])
+            v.append(name[at])
+        at = np.flatnonzero((np.arange(len(key)) - first >= 2) & (size > SMALL_GROUP))
+        u.append(name[first[at]])
+        v.append(name[at])
+        u, v = np.concatenate(u), np.concatenate(v)
+        low, high = np.minimum(u, v), np.maximum(u, v)
+        return pa.RecordBatch.from_arrays([pa.array(low[low != high]), pa.array(high[low != high])], schema=arrow)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, name = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for batch in batches:
+            key, name = (np.concatenate([a, batch.column(i).to_numpy(zero_copy_only=False)]) for i, a in enumerate((key, name)))
+            if len(key):
+                cut = int(np.searchsorted(key, key[-1]))
+                if cut:
+                    yield pairs(key[:cut], name[:cut])
+                elif len(key) > AT_ONCE:
+                    # A group longer than memory should hold goes on with its first member and its last.
+                    yield pairs(key, name)
+                    key, name = key[[0, -1]], name[[0, -1]]
+                    continue
+                key, name = key[cut:], name[cut:]
+        yield pairs(key, name)
+
+    parts = int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return keyed.repartition(parts, "key").sortWithinPartitions("key", F.xxhash64("key", "name")).mapInArrow(run, "u long, v long")
+
+
+def _linked_pairs(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs whose shingle sets (``name``, ``shingles``: sorted unsigned 32-bit hashes) are similar enough."""
+
+    def work(rows: dict[str, list]) -> dict[str, list]:
+        out: dict[str, list] = {"u": [], "v": []}
+        for u, v, a, b in zip(rows["u"], rows["v"], rows["a"], rows["b"]):
+            a, b = np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32)
+            both = len(np.intersect1d(a, b, assume_unique=True))
+            if both >= similarity * (len(a) + len(b) - both):
+                out["u"].append(u)
+                out["v"].append(v)
+        return out
+
+    one = pairs.join(sets.select(F.col("name").alias("u"), F.col("shingles").alias("a")), "u")
+    two = one.join(sets.select(F.col("name").alias("v"), F.col("shingles").alias("b")), "v")
+    return support.map_arrow(two.select("u", "v", "a", "b"), work, "u long, v long")
+
+
+def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """One row a document: doc_id and component_id, for links at a similarity of shingle sets."""
+
+    def work(rows: dict[str, list]) -> dict[str, list]:
+        out: dict[str, list] = {n: [] for n in ("doc_id", "k1", "k2", "fp", "keys", "shingles")}
+        out["doc_id"] = rows["doc_id"]
+        for text in rows["text"]:
+            words = words_of(text)
+            parts = list(shingle_hashes(words, shingle))
+            hashes = np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
+            same = xxhash.xxh128_intdigest(b" ".join(words))
+            out["k1"].append((same >> 64) - (1 << 63))
+            out["k2"].append((same & ((1 << 64) - 1)) - (1 << 63))
+            out["fp"].append(np.uint64(majority(parts)).view(np.int64))
+            out["keys"].append(samples(hashes))
+            out["shingles"].append(np.unique(hashes.astype(np.uint32)).tobytes())
+        return out
+
+    given = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
+    marked = support.written(support.map_arrow(given, work, "doc_id long, k1 long, k2 long, fp long, keys array<long>, shingles binary"))
+    named = support.checkpoint(marked.groupBy("k1", "k2").agg(F.min("doc_id").alias("name")))
+    # One row for each text: copies of a text are decided by their first.
+    chosen = marked.join(named.filter("name is not null").withColumnsRenamed({"k1": "of1", "k2": "of2"}), (F.col("doc_id") == F.col("name")) & (F.col("k1") == F.col("of1")) & (F.col("k2") == F.col("of2")), "left_semi")
+    chosen = support.written(chosen.withColumnRenamed("doc_id", "name").dropDuplicates(["name"]).select("name", "fp", "keys", "shingles"))
+
+    sampled = _meet(chosen.select(F.explode("keys").alias("key"), "name"))
+    equal = _meet(chosen.select(F.col("fp").alias("key"), "name"))
+    close = links(chosen.groupBy("fp").agg(F.min("name").alias("name")))
+    pairs = sampled.union(equal).union(close.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))).distinct()
+    pairs = support.checkpoint(pairs)
+    linked = components(_linked_pairs(pairs, chosen, similarity))
+    placed = named.join(linked.withColumnRenamed("node", "name"), "name", "left").select(F.col("k1").alias("of1"), F.col("k2").alias("of2"), F.coalesce("component", "name").alias("component_id"))
+    placed = support.checkpoint(placed)
+    return marked.select("doc_id", "k1", "k2").join(placed, (F.col("k1") == F.col("of1")) & (F.col("k2") == F.col("of2"))).select("doc_id", "component_id")
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents: fingerprints of 3-word shingles, linked at two or fewer differing bits."""
     found = near_duplicates(support.table(spark, sf_dir, "documents"))

@@ -42,6 +42,13 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder; what reads it takes only the columns that it needs."""
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def power_of_two(x: float) -> int:
     """The least power of two that is at least ``x`` (and at least 1)."""
     return 1 << max(0, math.ceil(math.log2(max(1.0, x))))
