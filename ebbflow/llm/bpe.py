@@ -23,7 +23,6 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
-import re
 from collections.abc import Iterable
 
 import numpy as np
@@ -32,8 +31,8 @@ from pyspark.sql import functions as F
 
 from ebbflow.llm import pretokens, support
 
-#: Pieces that a worker remembers before it starts anew; longer pieces aren't kept.
-CACHE_PIECES, CACHE_CHARS = 400_000, 80
+#: Pieces and pre-tokens that a worker remembers before it starts anew.
+CACHE_ENTRIES = 800_000
 #: Characters of text that are worked on at once.
 SLICE_CHARS = 2_000_000
 NO_LIMIT = np.int64(1) << 40
@@ -78,13 +77,11 @@ class ByteBPE:
         for t in rank_of:
             self.longest[t[0]] = max(self.longest[t[0]], len(t))
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
-        self.split_special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
+        self.encoder = pretokens.Encoder(self.encode_words, self.special, CACHE_ENTRIES)
         table = {int(i): t for t, i in zip(made, self.id_of)} | {i: c.encode() for c, i in self.special.items()}
         ids = range(max(table) + 1)
         self.spoken = _Table([table.get(i, b"") for i in ids])
         self.decimal = _Table([b"%d," % i for i in ids])
-        self.after_space: dict[str, bytes] = {}
-        self.alone: dict[str, bytes] = {}
 
     def guess(self, word: bytes) -> list[int]:
         """Greedy longest match, in ranks."""
@@ -144,11 +141,10 @@ class ByteBPE:
                 heapq.heappush(heap, (q, p, token[p], r))
         return [t for t in token if t >= 0]
 
-    def encode_pieces(self, found: list[str]) -> list[bytes]:
-        """The ids of each piece as little-endian unsigned 32-bit integers."""
-        words = [[x.encode()] if x.lstrip(" ").isalpha() and x[1:2] != " " else [w.encode() for w in pretokens.PATTERN.findall(x)] for x in found]
-        flat = [w for ws in words for w in ws]
-        guesses = [self.guess(w) for w in flat]
+    def encode_words(self, tokens: list[str]) -> list[bytes]:
+        """The ids of each pre-token as little-endian unsigned 32-bit integers."""
+        words = [t.encode() for t in tokens]
+        guesses = [self.guess(w) for w in words]
         sizes = np.fromiter(map(len, guesses), np.int64, len(guesses))
         ranks = np.fromiter((r for g in guesses for r in g), np.int64, int(sizes.sum()))
         ends = np.cumsum(sizes)
@@ -158,59 +154,16 @@ class ByteBPE:
             at = np.flatnonzero(inner)
             failed = at[~self.compatible(ranks[at], ranks[at + 1])]
             for k in np.unique(np.searchsorted(ends, failed, side="right")).tolist():
-                guesses[k] = self.merge(flat[k])
-        out, k = [], 0
-        for ws in words:
-            tokens = [r for g in guesses[k : k + len(ws)] for r in g]
-            k += len(ws)
-            out.append(self.id_of[tokens].tobytes())
-        return out
-
-    def _learn(self, cache: dict[str, bytes], lead: str, new: set[str]) -> None:
-        new = list(new)
-        cache.update(zip(new, self.encode_pieces([lead + x for x in new])))
+                guesses[k] = self.merge(words[k])
+            sizes = np.fromiter(map(len, guesses), np.int64, len(guesses))
+            ranks = np.fromiter((r for g in guesses for r in g), np.int64, int(sizes.sum()))
+        flat = self.id_of[ranks].tobytes()
+        ends = (4 * np.cumsum(sizes)).tolist()
+        return [flat[a:b] for a, b in zip([0, *ends], ends)]
 
     def encode_batch(self, texts: Iterable[str]) -> list[bytes]:
         """The ids of every text as little-endian unsigned 32-bit integers."""
-        if len(self.after_space) + len(self.alone) > CACHE_PIECES:
-            self.after_space.clear()
-            self.alone.clear()
-        parts: list[list[tuple[list[str], bool] | bytes]] = []
-        first: set[str] = set()
-        later: set[str] = set()
-        for text in texts:
-            own: list = []
-            for k, segment in enumerate(self.split_special.split(text) if self.split_special and any(map(text.__contains__, self.special)) else [text]):
-                if k % 2:
-                    own.append(np.uint32(self.special[segment]).tobytes())
-                    continue
-                found, safe = pretokens.pieces(segment)
-                if not safe:
-                    found = pretokens.PATTERN.findall(segment)
-                    first.update(found)
-                elif found:
-                    first.add(found[0])
-                    later.update(found[1:])
-                own.append((found, safe))
-            parts.append(own)
-        self._learn(self.alone, "", first - self.alone.keys())
-        self._learn(self.after_space, " ", later - self.after_space.keys())
-        alone, after = self.alone.__getitem__, self.after_space.__getitem__
-        out = []
-        for own in parts:
-            ids = []
-            for x in own:
-                if isinstance(x, bytes):
-                    ids.append(x)
-                elif x[1]:
-                    ids.append(alone(x[0][0]) + b"".join(map(after, x[0][1:])))
-                else:
-                    ids.append(b"".join(map(alone, x[0])))
-            out.append(b"".join(ids))
-        for cache in (self.alone, self.after_space):
-            for piece in [x for x in (first if cache is self.alone else later) if len(x) > CACHE_CHARS]:
-                del cache[piece]
-        return out
+        return self.encoder.encode_batch(texts)
 
     def decode(self, ids: np.ndarray) -> str:
         return self.spoken.join(ids).decode("utf-8", "replace")

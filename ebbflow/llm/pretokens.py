@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable, Iterable
 
+import numpy as np
 import regex
 
 #: Fixed value: the public byte-level pre-tokenizer's pattern.
@@ -23,3 +25,82 @@ def pieces(text: str) -> tuple[list[str], bool]:
     if UNSAFE.search(text):
         return [text], False
     return text.split(" "), True
+
+
+#: Pieces longer than this aren't remembered.
+LONG_PIECE = 80
+
+
+class Encoder:
+    """Encodes texts through what it remembers of their pieces and pre-tokens; new pre-tokens go to ``encode_new``.
+
+    ``encode_new`` maps a list of pre-tokens to their ids as little-endian unsigned 32-bit integers. ``special`` holds
+    the strings that are tokens of their own wherever they occur. About ``most`` entries are kept.
+    """
+
+    def __init__(self, encode_new: Callable[[list[str]], list[bytes]], special: dict[str, int], most: int):
+        self.encode_new, self.most = encode_new, most
+        self.special = {text: np.uint32(i).tobytes() for text, i in special.items()}
+        self.split_special = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
+        self.alone: dict[str, bytes] = {}
+        self.after_space: dict[str, bytes] = {}
+        self.tokens: dict[str, bytes] = {}
+
+    def _known(self, token: str) -> bytes | None:
+        found = self.tokens.get(token)
+        return self.after_space.get(token[1:]) if found is None and token[0] == " " else found
+
+    def _learn(self, cache: dict[str, bytes], lead: str, new: set[str]) -> None:
+        parts = {x: [lead + x] if x.isalpha() else PATTERN.findall(lead + x) for x in new}
+        unknown = list({t for ts in parts.values() for t in ts if self._known(t) is None})
+        fresh = dict(zip(unknown, self.encode_new(unknown)))
+        for x, ts in parts.items():
+            cache[x] = b"".join([fresh[t] if t in fresh else self._known(t) for t in ts])
+        for t, ids in fresh.items():
+            if len(t) <= LONG_PIECE and not (lead and t[0] == " " and t[1:] in cache):
+                self.tokens[t] = ids
+
+    def encode_batch(self, texts: Iterable[str]) -> list[bytes]:
+        """The ids of every text as little-endian unsigned 32-bit integers."""
+        if len(self.after_space) + len(self.alone) + len(self.tokens) > self.most:
+            for cache in (self.alone, self.after_space, self.tokens):
+                cache.clear()
+        parts: list[list[tuple[list[str], bool] | bytes]] = []
+        first: set[str] = set()
+        later: set[str] = set()
+        for text in texts:
+            own: list = []
+            cut = self.split_special.split(text) if self.split_special and any(map(text.__contains__, self.special)) else [text]
+            for k, segment in enumerate(cut):
+                if k % 2:
+                    own.append(self.special[segment])
+                    continue
+                found, safe = pieces(segment)
+                if not safe:
+                    found = PATTERN.findall(segment)
+                    first.update(found)
+                else:
+                    first.add(found[0])
+                    later.update(found[1:])
+                own.append((found, safe))
+            parts.append(own)
+        first -= self.alone.keys()
+        later -= self.after_space.keys()
+        self._learn(self.alone, "", first)
+        self._learn(self.after_space, " ", later)
+        alone, after = self.alone.__getitem__, self.after_space.__getitem__
+        out = []
+        for own in parts:
+            ids = []
+            for x in own:
+                if isinstance(x, bytes):
+                    ids.append(x)
+                elif x[1]:
+                    ids.append(alone(x[0][0]) + b"".join(map(after, x[0][1:])))
+                else:
+                    ids.append(b"".join(map(alone, x[0])))
+            out.append(b"".join(ids))
+        for cache, new in ((self.alone, first), (self.after_space, later)):
+            for piece in [x for x in new if len(x) > LONG_PIECE]:
+                del cache[piece]
+        return out

@@ -49,8 +49,8 @@ BUCKET_KEYS = 4
 SHARD_IDS = 4_000_000
 END_ID = 2
 SHARD_SCHEMA = "part int, seq int, first_key long, last_key long, n_docs long, n_ids long, image binary"
-#: Pieces that a worker remembers before it starts anew.
-CACHE_PIECES = 1_000_000
+#: Pieces and pre-tokens that a worker remembers before it starts anew.
+CACHE_ENTRIES = 2_000_000
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -174,43 +174,24 @@ class Shard:
 
 
 class LibraryEncoder:
-    """The public tokenizers library over distinct pieces; what a worker has seen it remembers."""
+    """The public tokenizers library over distinct pre-tokens; what a worker has seen it remembers.
+
+    The library's own model encodes; its pattern and special tokens were already applied where the texts were cut.
+    """
 
     def __init__(self, layout: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
-        self.tokenizer = Tokenizer.from_str(layout)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
-        self.alone: dict[str, bytes] = {}
-        self.after_space: dict[str, bytes] = {}
+        whole = Tokenizer.from_str(layout)
+        self.tokenizer = Tokenizer(whole.model)
+        self.tokenizer.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.width = 2 if whole.get_vocab_size() <= 1 << 16 else 4
+        special = {t.content: i for i, t in whole.get_added_tokens_decoder().items()}
+        self.encode_batch = pretokens.Encoder(self._ids, special, CACHE_ENTRIES).encode_batch
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, np.uint32).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def encode_batch(self, texts: list[str]) -> list[bytes]:
-        if len(self.alone) + len(self.after_space) > CACHE_PIECES:
-            self.alone.clear()
-            self.after_space.clear()
-        cut = [([t], False) if any(s in t for s in self.special) else pretokens.pieces(t) for t in texts]
-        first = {found[0] for found, _ in cut} - self.alone.keys()
-        later: set[str] = set()
-        for found, safe in cut:
-            if safe:
-                later.update(found[1:])
-        later -= self.after_space.keys()
-        for cache, lead, new in ((self.alone, "", first), (self.after_space, " ", later)):
-            new = list(new)
-            cache.update(zip(new, self._ids([lead + x for x in new])))
-        after = self.after_space.__getitem__
-        out = [self.alone[found[0]] + b"".join(map(after, found[1:])) for found, _ in cut]
-        for cache, new in ((self.alone, first), (self.after_space, later)):
-            for piece in [x for x in new if len(x) > bpe.CACHE_CHARS]:
-                del cache[piece]
-        return out
-
 
 _ENCODERS: dict[str, LibraryEncoder] = {}
 
