@@ -33,13 +33,15 @@ SHINGLE_WORDS, SIMILARITY = 5, 0.8
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = langid.fit(docs)
-    found = langid.predict(docs, model, keep=tuple(docs.columns))
-    return found.filter((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_LANGUAGE_SCORE)).select(*docs.columns)
+    lang, score = support.free_names(docs, "lang_pred", "score")
+    found = langid.predict(docs, model, keep=tuple(docs.columns), names=(lang, score))
+    return found.filter((F.col(lang) != langid.UNKNOWN) & (F.col(score) >= LEAST_LANGUAGE_SCORE)).select(*docs.columns)
 
 
 def no_toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = toxicity.fit(toxicity.with_labels(docs, support.table(spark, sf_dir, "labels")))
-    return toxicity.predict(docs, model, keep=tuple(docs.columns)).filter("predicted = 0").select(*docs.columns)
+    score, toxic = support.free_names(docs, "score", "predicted")
+    return toxicity.predict(docs, model, keep=tuple(docs.columns), names=(score, toxic)).filter(F.col(toxic) == 0).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,11 +51,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    plan = mixing.mix(docs).groupBy("doc_id").agg(F.sum("size").alias("mix_size"), F.sum("taken").alias("mix_taken"))
-    times = F.when(F.col("mix_size") > 0, F.floor(F.col("mix_taken") / F.col("mix_size") + 0.5)).otherwise(0).cast("int")
-    plan = plan.select(F.col("doc_id").alias("mix_id"), times.alias("mix_times")).filter("mix_times > 0")
-    repeated = docs.join(plan, docs["doc_id"].eqNullSafe(plan["mix_id"]))
-    return repeated.withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_times")))).select(*docs.columns)
+    of, times, copy = support.free_names(docs, "mix_id", "mix_times", "mix_copy")
+    plan = mixing.mix(docs).groupBy("doc_id").agg(F.sum("size").alias("words"), F.sum("taken").alias("taken"))
+    share = F.when(F.col("words") > 0, F.floor(F.col("taken") / F.col("words") + 0.5)).otherwise(0).cast("int")
+    plan = plan.select(F.col("doc_id").alias(of), share.alias(times)).filter(F.col(times) > 0)
+    repeated = docs.join(plan, docs["doc_id"].eqNullSafe(plan[of]))
+    return repeated.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

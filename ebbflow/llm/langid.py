@@ -163,18 +163,20 @@ class Scorer:
         return languages[best], round(float(share[best] / share.sum()), 6)
 
 
-def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text") -> DataFrame:
-    """The ``keep`` columns of every row, lang_pred and score."""
+def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text", names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """The ``keep`` columns of every row, and the language and its score under ``names``, which ``keep`` mustn't hold."""
+    (read,) = support.free_names(docs, "read")
+    lang, score = names
     shared = docs.sparkSession.sparkContext.broadcast(model)
     number = support.fresh()
 
     def work(batch: dict[str, list]) -> dict[str, list]:
         scorer = support.once(number, lambda: Scorer(shared.value))
-        found = [scorer.text(t) for t in batch["text__"]]
-        return {n: batch[n] for n in keep} | {"lang_pred": [x for x, _ in found], "score": [y for _, y in found]}
+        found = [scorer.text(t) for t in batch[read]]
+        return {n: batch[n] for n in keep} | {lang: [x for x, _ in found], score: [y for _, y in found]}
 
     kinds = ", ".join(f"`{n}` {docs.schema[n].dataType.simpleString()}" for n in keep)
-    return support.map_arrow(docs.select(*keep, F.col(text_col).alias("text__")), work, f"{kinds}, lang_pred string, score double")
+    return support.map_arrow(docs.select(*keep, F.col(text_col).alias(read)), work, f"{kinds}, `{lang}` string, `{score}` double")
 
 
 def is_held_out(id_col: str = "doc_id") -> Column:

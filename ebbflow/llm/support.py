@@ -59,6 +59,17 @@ def unsigned_crc32(column) -> F.Column:
     return F.crc32(column.cast("string").cast("binary"))
 
 
+def free_names(df: DataFrame, *wanted: str) -> list[str]:
+    """Names like the wanted ones that no column of ``df`` has, whatever the letter case."""
+    taken, found = {c.lower() for c in df.columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        found.append(name)
+    return found
+
+
 def map_arrow(df: DataFrame, work: Callable[[dict[str, list]], dict[str, list]], schema: str) -> DataFrame:
     """Applies ``work`` to batches of columns given as Python lists; Arrow carries the batches.
 

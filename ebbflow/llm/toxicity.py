@@ -117,8 +117,9 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lab
     return train([np.frombuffer(f, np.int32) for _, _, f in rows_in_order], np.array([y for _, y, _ in rows_in_order], float))
 
 
-def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The ``keep`` columns of every row, score and predicted."""
+def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text", threshold: float = THRESHOLD, names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
+    """The ``keep`` columns of every row, and the score and the decision under ``names``, which ``keep`` mustn't hold."""
+    (read,) = support.free_names(docs, "read")
     shared = docs.sparkSession.sparkContext.broadcast(model)
     number = support.fresh()
 
@@ -126,15 +127,15 @@ def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",),
         hasher = support.once("toxicity-hasher", Hasher)
         table = support.once(number, lambda: shared.value.table())
         scores = []
-        for text in batch["text__"]:
+        for text in batch[read]:
             at = hasher(text)
             at = np.unique(at[table[at] != 0])
             total = float(table[at].astype(float).sum()) + shared.value.intercept
             scores.append(round(float(1.0 / (1.0 + np.exp(-np.clip(total, -30, 30)))), 6))
-        return {n: batch[n] for n in keep} | {"score": scores, "predicted": [int(s >= threshold) for s in scores]}
+        return {n: batch[n] for n in keep} | {names[0]: scores, names[1]: [int(s >= threshold) for s in scores]}
 
     kinds = ", ".join(f"`{n}` {docs.schema[n].dataType.simpleString()}" for n in keep)
-    return support.map_arrow(docs.select(*keep, F.col(text_col).alias("text__")), work, f"{kinds}, score double, predicted int")
+    return support.map_arrow(docs.select(*keep, F.col(text_col).alias(read)), work, f"{kinds}, `{names[0]}` double, `{names[1]}` int")
 
 
 def is_held_out(id_col: str = "doc_id") -> Column:
