@@ -187,15 +187,9 @@ class _Table:
         return b"".join(out)
 
 
-_LOADED: dict[int, ByteBPE] = {}
-
-
-def loaded(shared) -> ByteBPE:
+def loaded(shared: Shared) -> ByteBPE:
     """This worker's copy of a broadcast vocabulary."""
-    if shared.id not in _LOADED:
-        _LOADED.clear()
-        _LOADED[shared.id] = ByteBPE(shared.value)
-    return _LOADED[shared.id]
+    return support.once(f"bpe-{shared.id}", lambda: ByteBPE(shared.value))
 
 
 class Shared:

@@ -97,9 +97,11 @@ def fresh() -> str:
 
 
 def once(name: str, build: Callable[[], object]):
-    """What ``build`` made the first time that this worker asked for ``name``; the latest few are kept."""
+    """What ``build`` made the first time that this worker asked for ``name``.
+
+    Only the latest is kept: a worker that goes on to another operator lets go of what the one before remembered.
+    """
     if name not in _KEPT:
-        while len(_KEPT) >= 4:
-            _KEPT.pop(next(iter(_KEPT)))
+        _KEPT.clear()
         _KEPT[name] = build()
     return _KEPT[name]

@@ -124,8 +124,7 @@ def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",),
     number = support.fresh()
 
     def work(batch: dict[str, list]) -> dict[str, list]:
-        hasher = support.once("toxicity-hasher", Hasher)
-        table = support.once(number, lambda: shared.value.table())
+        hasher, table = support.once(number, lambda: (Hasher(), shared.value.table()))
         scores = []
         for text in batch[read]:
             at = hasher(text)
