@@ -306,15 +306,21 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     marked = support.written(support.map_arrow(given, work, "doc_id long, k1 long, k2 long, fp long, keys array<long>, shingles binary"))
     named = support.checkpoint(marked.groupBy("k1", "k2").agg(F.min("doc_id").alias("name")))
     # One row for each text: copies of a text are decided by their first.
-    chosen = marked.join(named.filter("name is not null").withColumnsRenamed({"k1": "of1", "k2": "of2"}), (F.col("doc_id") == F.col("name")) & (F.col("k1") == F.col("of1")) & (F.col("k2") == F.col("of2")), "left_semi")
-    chosen = support.written(chosen.withColumnRenamed("doc_id", "name").dropDuplicates(["name"]).select("name", "fp", "keys", "shingles"))
+    first = named.filter("name is not null").withColumnsRenamed({"k1": "of1", "k2": "of2"})
+    light = marked.select("doc_id", "k1", "k2", "fp", "keys")
+    chosen = light.join(first, (F.col("doc_id") == F.col("name")) & (F.col("k1") == F.col("of1")) & (F.col("k2") == F.col("of2")), "left_semi")
+    chosen = support.checkpoint(chosen.select(F.col("doc_id").alias("name"), "fp", "keys").dropDuplicates(["name"]))
 
     sampled = _meet(chosen.select(F.explode("keys").alias("key"), "name"))
     equal = _meet(chosen.select(F.col("fp").alias("key"), "name"))
     close = links(chosen.groupBy("fp").agg(F.min("name").alias("name")))
     pairs = sampled.union(equal).union(close.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))).distinct()
     pairs = support.checkpoint(pairs)
-    linked = components(_linked_pairs(pairs, chosen, similarity))
+    # Shingle sets are large; only those of texts in some pair are moved.
+    used = pairs.select(F.explode(F.array("u", "v")).alias("of")).distinct()
+    sets = marked.select(F.col("doc_id").alias("name"), "shingles").join(used, F.col("name") == F.col("of"), "left_semi")
+    sets = support.written(sets.groupBy("name").agg(F.min("shingles").alias("shingles")))
+    linked = components(_linked_pairs(pairs, sets, similarity))
     placed = named.join(linked.withColumnRenamed("node", "name"), "name", "left").select(F.col("k1").alias("of1"), F.col("k2").alias("of2"), F.coalesce("component", "name").alias("component_id"))
     placed = support.checkpoint(placed)
     return marked.select("doc_id", "k1", "k2").join(placed, (F.col("k1") == F.col("of1")) & (F.col("k2") == F.col("of2"))).select("doc_id", "component_id")
