@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from ebbflow.llm import pretokens, support
 
 #: Pieces and pre-tokens that a worker remembers before it starts anew.
-CACHE_ENTRIES = 800_000
+CACHE_ENTRIES = 400_000
 #: Characters of text that are worked on at once.
 SLICE_CHARS = 2_000_000
 NO_LIMIT = np.int64(1) << 40
