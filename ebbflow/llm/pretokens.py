@@ -46,29 +46,42 @@ class Encoder:
         self.after_space: dict[str, bytes] = {}
         self.tokens: dict[str, bytes] = {}
 
-    def _known(self, token: str) -> bytes | None:
-        found = self.tokens.get(token)
-        return self.after_space.get(token[1:]) if found is None and token[0] == " " else found
-
     def _learn(self, cache: dict[str, bytes], lead: str, new: set[str]) -> None:
-        parts = {x: [lead + x] if x.isalpha() else PATTERN.findall(lead + x) for x in new}
-        unknown = list({t for ts in parts.values() for t in ts if self._known(t) is None})
-        fresh = dict(zip(unknown, self.encode_new(unknown)))
-        for x, ts in parts.items():
-            cache[x] = b"".join([fresh[t] if t in fresh else self._known(t) for t in ts])
-        for t, ids in fresh.items():
+        tokens, after = self.tokens, self.after_space
+        whole = [x for x in new if x.isalpha()]
+        mixed = [(x, PATTERN.findall(lead + x)) for x in new if not x.isalpha()]
+        needed = {lead + x for x in whole}
+        for _, parts in mixed:
+            needed.update(parts)
+        found, unknown = {}, []
+        for t in needed:
+            ids = tokens.get(t)
+            if ids is None and t[0] == " ":
+                ids = after.get(t[1:])
+            if ids is None:
+                unknown.append(t)
+            else:
+                found[t] = ids
+        found.update(zip(unknown, self.encode_new(unknown)))
+        get = found.__getitem__
+        for x in whole:
+            cache[x] = get(lead + x)
+        for x, parts in mixed:
+            cache[x] = b"".join(map(get, parts))
+        for t in unknown:
             if len(t) <= LONG_PIECE and not (lead and t[0] == " " and t[1:] in cache):
-                self.tokens[t] = ids
+                tokens[t] = found[t]
 
     def encode_batch(self, texts: Iterable[str]) -> list[bytes]:
         """The ids of every text as little-endian unsigned 32-bit integers."""
         if len(self.after_space) + len(self.alone) + len(self.tokens) > self.most:
             for cache in (self.alone, self.after_space, self.tokens):
                 cache.clear()
-        parts: list[list[tuple[list[str], bool] | bytes]] = []
         first: set[str] = set()
         later: set[str] = set()
+        docs = []
         for text in texts:
+            # What is known is looked up once; a part with unknown pieces waits as (cache, pieces, ids so far).
             own: list = []
             cut = self.split_special.split(text) if self.split_special and any(map(text.__contains__, self.special)) else [text]
             for k, segment in enumerate(cut):
@@ -77,30 +90,24 @@ class Encoder:
                     continue
                 found, safe = pieces(segment)
                 if not safe:
-                    found = PATTERN.findall(segment)
-                    first.update(found)
+                    self._take(own, first, self.alone, PATTERN.findall(segment))
                 else:
-                    first.add(found[0])
-                    later.update(found[1:])
-                own.append((found, safe))
-            parts.append(own)
-        first -= self.alone.keys()
-        later -= self.after_space.keys()
+                    self._take(own, first, self.alone, found[:1])
+                    self._take(own, later, self.after_space, found[1:])
+            docs.append(own)
         self._learn(self.alone, "", first)
         self._learn(self.after_space, " ", later)
-        alone, after = self.alone.__getitem__, self.after_space.__getitem__
-        out = []
-        for own in parts:
-            ids = []
-            for x in own:
-                if isinstance(x, bytes):
-                    ids.append(x)
-                elif x[1]:
-                    ids.append(alone(x[0][0]) + b"".join(map(after, x[0][1:])))
-                else:
-                    ids.append(b"".join(map(alone, x[0])))
-            out.append(b"".join(ids))
+        out = [b"".join([x if isinstance(x, bytes) else b"".join([x[0][p] if i is None else i for p, i in zip(x[1], x[2])]) for x in own]) for own in docs]
         for cache, new in ((self.alone, first), (self.after_space, later)):
             for piece in [x for x in new if len(x) > LONG_PIECE]:
                 del cache[piece]
         return out
+
+    @staticmethod
+    def _take(own: list, new: set[str], cache: dict[str, bytes], found: list[str]) -> None:
+        ids = list(map(cache.get, found))
+        try:
+            own.append(b"".join(ids))
+        except TypeError:
+            new.update([p for p, i in zip(found, ids) if i is None])
+            own.append((cache, found, ids))

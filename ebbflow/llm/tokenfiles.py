@@ -28,9 +28,11 @@ ignored, whatever their names.
 
 from __future__ import annotations
 
+import os
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -190,20 +192,12 @@ class LibraryEncoder:
         self.encode_batch = pretokens.Encoder(self._ids, special, CACHE_ENTRIES).encode_batch
 
     def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, np.uint32).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-
-_ENCODERS: dict[str, LibraryEncoder] = {}
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
 
 def _encoder(shared: bpe.Shared) -> LibraryEncoder:
-    if shared.id not in _ENCODERS:
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        _ENCODERS.clear()
-        _ENCODERS[shared.id] = LibraryEncoder(shared.value)
-    return _ENCODERS[shared.id]
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    return support.once(f"library-{shared.id}", lambda: LibraryEncoder(shared.value))
 
 
 def write(docs: DataFrame, path: str, tokenizer: str, partitions: int, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, shard_ids: int = SHARD_IDS) -> None:
