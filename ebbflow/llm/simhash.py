@@ -17,13 +17,15 @@ distinct fingerprint), so neither copies nor dense groups are expanded into pair
 by iterative joins, and every document takes the component of its fingerprint.
 
 ``similar_documents`` serves a similarity instead of a number of bits: documents are linked if the sets of their
-shingles have a Jaccard similarity of at least ``similarity``. Fingerprints of whole texts can't decide this alone: at 0.8
-they differ in up to 17 bits of 64 (measured). So each text also gets ``SAMPLES`` sample fingerprints, SimHashes of the
-``SAMPLE`` shingles that come first in as many hashed orders; two texts of similarity s share one with probability
-1 - (1 - s**4)**14 or about, 0.9994 at 0.8. Texts whose fingerprints link at an anchor, or that share a sample
-fingerprint, are candidates. A group of texts with one sample fingerprint is not expanded into pairs: small groups are
-compared fully, large ones along a chain and with their first, in an order that differs between samples. Candidates count
-only if the exact similarity of their shingle sets confirms them.
+shingles have a Jaccard similarity of at least ``similarity``. Fingerprints can't decide this: at 0.8 they differ in up to 17
+bits of 64 (measured). Candidates come from a prefix filter, which misses none: if all sets are sorted in one common
+order, two sets of similarity s share one of the first n - ceil(s * n) + 1 shingles of each, n being the set's size. The
+order puts the ``COMMON`` most frequent shingles of a sample of texts last, so passages that many texts share are seldom
+in a prefix; any order gives the same links. Texts that share a prefix shingle are a group. The first round tests groups
+of up to ``SMALL_GROUP`` fully, larger ones along a chain and with their first. The second round takes the larger groups
+that are not yet one component, and tests all pairs in them that sizes allow, in pairs of blocks of about
+``BLOCK`` texts; a block pair yields a forest of its links. Links count only if the similarity of the shingle sets
+confirms them.
 
 Defined results: null, empty and wordless texts share fingerprint zero and are linked like any other; rows with a null
 id can't name a component and are named by the smallest other id they reach, else null; equal rows stay separate rows; an
@@ -32,6 +34,7 @@ empty table gives no rows; other columns are ignored, whatever their names.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -50,12 +53,14 @@ LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 SEED, THRESHOLD = 42, 2
 #: Shingles that are hashed at once, which bounds memory for long texts.
 AT_ONCE = 1 << 16
-#: Sample fingerprints of a text, and shingles in each.
-SAMPLES, SAMPLE = 14, 4
-#: Groups up to this size are compared fully.
+#: Groups up to this size are compared fully in the first round.
 SMALL_GROUP = 8
 #: Rows of a group that are compared with the whole group at once.
 BLOCK = 512
+#: Most shingles that are put last, the share of texts they are counted in (one of so many), and the least count there.
+COMMON, COUNTED_IN, LEAST_COUNT = 1 << 16, 4, 4
+#: Shingles of a block pair that are compared at once.
+COLUMNS = 4096
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -90,18 +95,15 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
     return majority(shingle_hashes(words_of(text), shingle))
 
 
-ORDERS = [np.uint64(xxhash.xxh64_intdigest(b"order %d" % k) | 1) for k in range(SAMPLES)]
-
-
-def samples(hashes: np.ndarray) -> list[int]:
-    """The sample fingerprints of distinct hashes, as signed numbers that differ between samples."""
-    out = []
-    for k, order in enumerate(ORDERS):
-        mixed = (hashes ^ (order >> np.uint64(1))) * order
-        mixed = (mixed ^ (mixed >> np.uint64(32))) * order
-        first = hashes if len(hashes) <= SAMPLE else hashes[np.argpartition(mixed, SAMPLE - 1)[:SAMPLE]]
-        out.append(xxhash.xxh64_intdigest(np.array([majority([first]), int(np.bitwise_xor.reduce(first)) if len(first) else 0, k], np.uint64).tobytes()))
-    return np.array(out, np.uint64).view(np.int64).tolist()
+def prefix(tokens: np.ndarray, common: np.ndarray, rank: np.ndarray, similarity: float) -> np.ndarray:
+    """The tokens of a set that any set of that similarity shares one of; ``common`` (sorted) come last, by ``rank``."""
+    n = len(tokens)
+    wanted = n - math.ceil(similarity * n - 1e-9) + 1
+    order = tokens.astype(np.uint64) * np.uint64(0x9E3779B1) & np.uint64(0xFFFFFFFF)
+    if len(common):
+        at = np.minimum(np.searchsorted(common, tokens), len(common) - 1)
+        order = np.where(common[at] == tokens, np.uint64(1 << 32) + rank[at], order)
+    return tokens if wanted >= n else tokens[np.argpartition(order, wanted - 1)[:wanted]]
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
@@ -227,7 +229,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def _meet(keyed: DataFrame) -> DataFrame:
-    """(key, name) to candidate pairs (u, v): who shares a key, see ``similar_documents``."""
+    """(key, name) to the first round's candidate pairs (u, v): all pairs of small groups, a few of large ones."""
     arrow = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
     def pairs(key: np.ndarray, name: np.ndarray) -> pa.RecordBatch:
@@ -244,7 +246,8 @@ def _meet(keyed: DataFrame) -> DataFrame:
         v.append(name[at])
         u, v = np.concatenate(u), np.concatenate(v)
         low, high = np.minimum(u, v), np.maximum(u, v)
-        return pa.RecordBatch.from_arrays([pa.array(low[low != high]), pa.array(high[low != high])], schema=arrow)
+        found = np.unique(np.stack([low, high], axis=1)[low != high], axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], schema=arrow)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, name = np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -255,7 +258,7 @@ def _meet(keyed: DataFrame) -> DataFrame:
                 if cut:
                     yield pairs(key[:cut], name[:cut])
                 elif len(key) > AT_ONCE:
-                    # A group longer than memory should hold goes on with its first member and its last.
+                    # A group longer than memory should hold goes on with its first member and its last; the second round tests the rest.
                     yield pairs(key, name)
                     key, name = key[[0, -1]], name[[0, -1]]
                     continue
@@ -284,45 +287,144 @@ def _linked_pairs(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataF
     return support.map_arrow(two.select("u", "v", "a", "b"), work, "u long, v long")
 
 
+def _forest(names: np.ndarray, sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+    """Links between members ``left`` and ``right`` (positions) of similar sets, as a forest."""
+    sizes = np.array([len(x) for x in sets])
+    tokens, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(sets)), sizes)
+    # A token of one set is in no intersection.
+    number = np.cumsum(times > 1) - 1
+    shared = times[column] > 1
+    row, column = row[shared], number[column[shared]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    both = np.zeros((len(left), len(right)), np.float32)
+    for c in range(0, int(number[-1]) + 1, COLUMNS):
+        part = slice(*np.searchsorted(column, [c, c + COLUMNS]))
+        dense = np.zeros((len(sets), min(COLUMNS, int(number[-1]) + 1 - c)), np.float32)
+        dense[row[part], column[part] - c] = 1
+        both += dense[left] @ dense[right].T
+    near = both >= similarity * (sizes[left][:, None] + sizes[right][None, :] - both.astype(np.float64))
+    a, b = np.nonzero(near)
+    label = np.arange(len(sets))
+    a, b = np.concatenate([left[a], right[b]]), np.concatenate([right[b], left[a]])
+    while True:
+        least = label.copy()
+        np.minimum.at(least, a, label[b])
+        least = least[least]
+        if np.array_equal(least, label):
+            break
+        label = least
+    # Edges of the forest: each reached member and a real neighbour nearer to the first, level by level.
+    found, seen = [], label == np.arange(len(sets))
+    while len(a):
+        step = seen[a] & ~seen[b]
+        if not step.any():
+            break
+        new, at = np.unique(b[step], return_index=True)
+        found += zip(names[a[step][at]].tolist(), names[new].tolist())
+        seen[new] = True
+    return found
+
+
+def _rest(keyed: DataFrame, texts: DataFrame, component: DataFrame, similarity: float) -> DataFrame:
+    """Links (u, v) of large groups between texts that are not yet in one component, all pairs tested."""
+    workers.reach(keyed.sparkSession)
+    large = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("members")).filter(F.col("members") > SMALL_GROUP).select(F.col("key").alias("of"))
+    labels = component.select(F.col("node").alias("named"), "component")
+    members = keyed.join(large, F.col("key") == F.col("of"), "left_semi").join(labels, F.col("name") == F.col("named"), "left")
+    # Sizes of similar sets differ by one class at most; a band holds a class and the one above it.
+    level = F.floor(F.log(F.col("n").cast("double")) / F.lit(math.log(1.0000001 / similarity)))
+    members = members.select("key", "name", F.coalesce("component", "name").alias("component"), F.explode(F.array(level, level - 1)).alias("band"))
+    members = support.checkpoint(members)
+    open_ = members.groupBy("key", "band").agg(F.count(F.lit(1)).alias("there"), F.min("component").alias("least"), F.max("component").alias("most")).filter("least <> most")
+    open_ = open_.select(F.col("key").alias("of"), F.col("band").alias("of_band"), F.ceil(F.col("there") / F.lit(BLOCK // 2)).cast("int").alias("blocks"))
+    who = members.join(open_, (F.col("key") == F.col("of")) & (F.col("band") == F.col("of_band")))
+    who = who.select("key", "band", "name", "blocks", F.pmod(F.xxhash64(F.lit(91), "name"), F.col("blocks")).cast("int").alias("block"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    sent = who.select("key", "band", "name", "block", other).select(
+        "key", "band", "name", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")
+    )
+    sent = sent.join(texts.select(F.col("name").alias("named"), "shingles"), F.col("name") == F.col("named")).select(F.xxhash64("key", "band", "i", "j").alias("pair"), "i", "j", "block", "name", "shingles")
+    arrow = pa.schema([("u", pa.int64()), ("v", pa.int64())])
+
+    def batch_of(held: list[tuple]) -> pa.RecordBatch:
+        names = np.array([x[3] for x in held], np.int64)
+        i, j, block = (np.array([x[k] for x in held]) for k in range(3))
+        found = _forest(names, [np.frombuffer(x[4], np.uint32) for x in held], np.flatnonzero(block == i), np.flatnonzero(block == j), similarity)
+        return pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], schema=arrow)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, last = [], None
+        for batch in batches:
+            for pair, *row in zip(*(batch.column(k).to_pylist() for k in range(6))):
+                if pair != last and held:
+                    yield batch_of(held)
+                    held = []
+                last = pair
+                held.append(row)
+        if held:
+            yield batch_of(held)
+
+    parts = int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return sent.repartition(parts, "pair").sortWithinPartitions("pair").mapInArrow(run, "u long, v long")
+
+
+def _common(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The most frequent tokens in a share of the texts, sorted, and the rank of each."""
+
+    def work(rows: dict[str, list]) -> dict[str, list]:
+        return {"token": np.concatenate([np.frombuffer(x, np.uint32) for x in rows["shingles"]]).astype(np.int64)}
+
+    some = texts.filter(F.pmod(F.xxhash64(F.lit(93), "k1"), F.lit(COUNTED_IN)) == 0).select("shingles")
+    counted = support.map_arrow(some, work, "token long").groupBy("token").agg(F.count(F.lit(1)).alias("times")).filter(F.col("times") >= LEAST_COUNT)
+    found = counted.orderBy(F.desc("times"), "token").limit(COMMON).collect()
+    found = sorted((r["token"], k) for k, r in enumerate(reversed(found)))
+    return np.array([t for t, _ in found], np.uint32), np.array([k for _, k in found], np.uint64)
+
+
 def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """One row a document: doc_id and component_id, for links at a similarity of shingle sets."""
 
     def work(rows: dict[str, list]) -> dict[str, list]:
-        out: dict[str, list] = {n: [] for n in ("doc_id", "k1", "k2", "fp", "keys", "shingles")}
+        out: dict[str, list] = {n: [] for n in ("doc_id", "k1", "k2", "shingles")}
         out["doc_id"] = rows["doc_id"]
         for text in rows["text"]:
             words = words_of(text)
-            parts = list(shingle_hashes(words, shingle))
-            hashes = np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
+            parts = [np.unique(x.astype(np.uint32)) for x in shingle_hashes(words, shingle)]
             same = xxhash.xxh128_intdigest(b" ".join(words))
             out["k1"].append((same >> 64) - (1 << 63))
             out["k2"].append((same & ((1 << 64) - 1)) - (1 << 63))
-            out["fp"].append(np.uint64(majority(parts)).view(np.int64))
-            out["keys"].append(samples(hashes))
-            out["shingles"].append(np.unique(hashes.astype(np.uint32)).tobytes())
+            out["shingles"].append(np.unique(np.concatenate(parts)).tobytes() if parts else b"")
         return out
 
     given = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    marked = support.written(support.map_arrow(given, work, "doc_id long, k1 long, k2 long, fp long, keys array<long>, shingles binary"))
-    named = support.checkpoint(marked.groupBy("k1", "k2").agg(F.min("doc_id").alias("name")))
-    # One row for each text: copies of a text are decided by their first.
-    first = named.filter("name is not null").withColumnsRenamed({"k1": "of1", "k2": "of2"})
-    light = marked.select("doc_id", "k1", "k2", "fp", "keys")
-    chosen = light.join(first, (F.col("doc_id") == F.col("name")) & (F.col("k1") == F.col("of1")) & (F.col("k2") == F.col("of2")), "left_semi")
-    chosen = support.checkpoint(chosen.select(F.col("doc_id").alias("name"), "fp", "keys").dropDuplicates(["name"]))
-
-    sampled = _meet(chosen.select(F.explode("keys").alias("key"), "name"))
-    equal = _meet(chosen.select(F.col("fp").alias("key"), "name"))
-    close = links(chosen.groupBy("fp").agg(F.min("name").alias("name")))
-    pairs = sampled.union(equal).union(close.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))).distinct()
-    pairs = support.checkpoint(pairs)
+    marked = support.written(support.map_arrow(given, work, "doc_id long, k1 long, k2 long, shingles binary"))
+    # One row for each text, with a number of its own: documents of one id may differ in text.
+    texts = marked.groupBy("k1", "k2").agg(F.min("doc_id").alias("least"), F.first("shingles").alias("shingles"))
+    texts = support.written(texts.withColumn("name", F.monotonically_increasing_id()))
+    common, rank = _common(texts)
+
+    def keys(rows: dict[str, list]) -> dict[str, list]:
+        sets = [np.frombuffer(x, np.uint32) for x in rows["shingles"]]
+        found = [prefix(x, common, rank, similarity) if len(x) else x for x in sets]
+        long = [len(x) for x in found]
+        return {"key": np.concatenate(found).astype(np.int64), "name": np.repeat(np.array(rows["name"], np.int64), long), "n": np.repeat(np.array([len(x) for x in sets], np.int32), long)}
+
+    keyed = support.written(support.map_arrow(texts.select("name", "shingles"), keys, "key long, name long, n int"))
+    pairs = support.checkpoint(_meet(keyed.select("key", "name")).distinct())
     # Shingle sets are large; only those of texts in some pair are moved.
     used = pairs.select(F.explode(F.array("u", "v")).alias("of")).distinct()
-    sets = marked.select(F.col("doc_id").alias("name"), "shingles").join(used, F.col("name") == F.col("of"), "left_semi")
-    sets = support.written(sets.groupBy("name").agg(F.min("shingles").alias("shingles")))
-    linked = components(_linked_pairs(pairs, sets, similarity))
-    placed = named.join(linked.withColumnRenamed("node", "name"), "name", "left").select(F.col("k1").alias("of1"), F.col("k2").alias("of2"), F.coalesce("component", "name").alias("component_id"))
-    placed = support.checkpoint(placed)
+    sets = support.written(texts.select("name", "shingles").join(used, F.col("name") == F.col("of"), "left_semi"))
+    near = support.checkpoint(_linked_pairs(pairs, sets, similarity))
+    linked = components(near)
+    rest = support.checkpoint(_rest(keyed, texts, linked, similarity))
+    if rest.limit(1).count():
+        linked = components(near.union(rest))
+    placed = texts.select("k1", "k2", "name", "least").join(linked.withColumnRenamed("node", "named"), F.col("name") == F.col("named"), "left")
+    placed = support.checkpoint(placed.select("k1", "k2", "least", F.coalesce("component", "name").alias("component")))
+    ids = placed.groupBy(F.col("component").alias("of")).agg(F.min("least").alias("component_id"))
+    placed = placed.join(ids, F.col("component") == F.col("of")).select(F.col("k1").alias("of1"), F.col("k2").alias("of2"), "component_id")
     return marked.select("doc_id", "k1", "k2").join(placed, (F.col("k1") == F.col("of1")) & (F.col("k2") == F.col("of2"))).select("doc_id", "component_id")
 
 

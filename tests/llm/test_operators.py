@@ -210,6 +210,59 @@ def test_similar_documents_equal_brute_force(spark):
     assert got == want
 
 
+def shingle_sets(rows):
+    sets = {}
+    for i, t, *_ in rows:
+        w = t.split()
+        sets[i] = {" ".join(w[a : a + 5]) for a in range(max(1, len(w) - 4))}
+    return sets
+
+
+def test_similar_documents_find_all_variants_of_a_hub(spark):
+    """Variants are near the original, not each other, and all share most shingles."""
+    rng = random.Random(8)
+    words = [f"w{k}" for k in range(50)]
+    rows = [(0, " ".join(words), "en", "s", 0)]
+    for k in range(1, 1101):
+        at = rng.randrange(5, 45)
+        rows.append((k, " ".join([*words[:at], f"n{k}", *words[at + 1 :]]), "en", "s", 0))
+    sets = shingle_sets(rows)
+    assert all(len(sets[0] & x) >= 0.8 * len(sets[0] | x) for x in sets.values())
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == dict.fromkeys(sets, 0)
+
+
+def test_similar_documents_find_short_texts_at_the_very_similarity(spark):
+    rows = []
+    for k in range(1500):
+        words = [f"t{k}x{i}" for i in range(9)]
+        rows += [(2 * k, " ".join(words), "en", "s", 0), (2 * k + 1, " ".join(words[:8]), "en", "s", 0)]
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {i: i - i % 2 for i, *_ in rows}
+
+
+def test_similar_documents_pass_on_real_links_of_groups(spark):
+    """Chains that share one passage, where neighbours are near and ends are not, against brute force."""
+    rng, rows = random.Random(9), []
+    for g in range(3):
+        words = [f"c{k}" for k in range(30)] + [f"g{g}w{k}" for k in range(30)]
+        for _ in range(12):
+            rows.append((len(rows), " ".join(words), "en", "s", 0))
+            words = list(words)
+            words[rng.randrange(60)] = f"m{len(rows)}"
+    sets = shingle_sets(rows)
+    want = classes(sets, [(a, b) for a in sets for b in sets if b < a and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])])
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == want
+
+
+def test_similar_documents_with_one_id_for_different_texts(spark):
+    a, b = ([f"{x}{k}" for k in range(60)] for x in "ab")
+    rows = [(1, " ".join(a), "en", "s", 0), (1, " ".join(b), "en", "s", 0), (2, " ".join(a[:-1]), "en", "s", 0), (3, " ".join(b[:-1]), "en", "s", 0), (None, " ".join(b[1:]), "en", "s", 0)]
+    got = sorted(map(tuple, simhash.similar_documents(spark.createDataFrame(rows, SCHEMA)).collect()), key=str)
+    assert got == [(1, 1), (1, 1), (2, 1), (3, 1), (None, 1)]
+
+
 def test_similar_documents_on_awkward_rows(awkward, nothing):
     assert simhash.similar_documents(awkward).count() == len(AWKWARD) and simhash.similar_documents(nothing).count() == 0
 
