@@ -1,6 +1,6 @@
 """Media columns: GIF files decoded to timed frames with colour histograms.
 
-The decoder covers LZW code streams of every code size (growing codes, clear codes, codes that refer to the string being
+The decoder covers LZW code streams of every code size (growing codes, clear codes, deferred clears, codes that refer to the string being
 built), global and local palettes, interlace, transparency, the disposal rules (keep, restore to background, restore
 to previous) and delays. Codes are unpacked and strings expanded with array operations: an LZW string is the string of
 an earlier code and the byte after it, and both lie side by side in the output, so every output byte points back to an
@@ -67,8 +67,11 @@ def _code_starts(count: int, size: int) -> tuple[np.ndarray, np.ndarray]:
 _STARTS = {size: _code_starts(MAX_CODES * 2, size) for size in range(2, 9)}
 
 
-def _expand(codes: np.ndarray, base: int, first_entry: int) -> np.ndarray:
-    """Output of the codes between two clears: literals below ``base``, entries from ``first_entry`` on."""
+def _expand(codes: np.ndarray, base: int, first_entry: int, most: int) -> np.ndarray:
+    """Output of the codes between two clears: literals below ``base``, entries from ``first_entry`` on.
+
+    Codes after the one that reaches ``most`` bytes are left out.
+    """
     n = len(codes)
     if not n or (literal := codes < base).all():
         return codes.astype(np.uint8)
@@ -81,6 +84,8 @@ def _expand(codes: np.ndarray, base: int, first_entry: int) -> np.ndarray:
         size[live] += size[up[live]]
         up[live] = up[up[live]]
     ends = np.cumsum(size)
+    n = min(n, int(np.searchsorted(ends, most)) + 1)
+    codes, literal, parent, size, ends = codes[:n], literal[:n], parent[:n], size[:n], ends[:n]
     starts = ends - size
     # An entry's bytes are those from its parent's start on; literals are fixed points.
     which = np.repeat(np.arange(n), size)
@@ -100,27 +105,30 @@ def lzw_decode(data: bytes, size: int, most: int) -> np.ndarray:
     total, at, out, held = 8 * len(data), 0, [], 0
     guess = 512
     while held < most and at + size + 1 <= total:
+        if guess > len(starts):
+            # The table is full and not cleared: 12-bit codes go on.
+            starts, widths = _code_starts(guess, size)
         n = min(guess, int(np.searchsorted(starts + widths, total - at, side="right")))
         bits = at + starts[:n]
         codes = (window[bits >> 3] >> (bits & 7).astype(np.uint32)).astype(np.int64) & ((1 << widths[:n]) - 1)
         ends = np.flatnonzero((codes == clear) | (codes == stop))
-        if not len(ends) and n == guess and guess < len(starts):
-            guess = min(guess * 4, len(starts))
+        if not len(ends) and n == guess:
+            guess *= 4
             continue
         k = int(ends[0]) if len(ends) else n
         part = codes[:k]
         try:
-            got = _expand(part, clear, stop + 1)
+            got = _expand(part, clear, stop + 1, most - held)
         except ValueError:
             bad = int(np.flatnonzero(np.where(part < clear, -1, part - stop - 1) >= np.arange(k))[0])
-            out.append(_expand(part[:bad], clear, stop + 1))
+            out.append(_expand(part[:bad], clear, stop + 1, most - held))
             break
         out.append(got)
         held += len(got)
         if not len(ends) or codes[k] == stop:
             break
         at += int(starts[k] + widths[k])
-        guess = 512 if k < 512 else len(starts)
+        guess = 512 if k < 512 else MAX_CODES * 2
     return np.concatenate(out)[:most] if out else np.zeros(0, np.uint8)
 
 

@@ -280,6 +280,35 @@ def test_lzw_round_trip(n):
     assert len(gif.lzw_decode(gif.lzw_search(pixels)[: n // 9], 8, n)) <= n
 
 
+def deferred(pixels):
+    """An LZW stream that goes on with 12-bit codes when the table is full, without a clear code."""
+    table, codes, widths, width, prefix = {bytes([b]): b for b in range(256)}, [256], [9], 9, b""
+    entry = 258
+    for b in pixels.tolist():
+        longer = prefix + bytes([b])
+        if longer in table:
+            prefix = longer
+            continue
+        codes.append(table[prefix])
+        widths.append(width)
+        if entry < 4096:
+            table[longer] = entry
+            entry += 1
+            width += entry > 1 << width and width < 12
+        prefix = bytes([b])
+    return gif._pack(np.array([*codes, table[prefix], 257]), np.array([*widths, width, width])), len(codes)
+
+
+def test_gif_deferred_clear(spark):
+    pixels = np.random.default_rng(12).integers(0, 256, 250 * 200).astype(np.uint8)
+    stream, codes = deferred(pixels)
+    assert codes > 4 * 8192 and np.array_equal(gif.lzw_decode(stream, 8, len(pixels)), pixels)
+    assert np.array_equal(gif.lzw_decode(stream, 8, 30_001), pixels[:30_001])
+    data = gif.write_gif((250, 200), [np.zeros((0, 250), np.uint8)], [1])[:13 + 768] + b"\x2c" + np.array([0, 0, 250, 200], "<u2").tobytes() + b"\0\x08" + gif._blocks(stream) + b"\x3b"
+    (row,) = gif.frames(spark.createDataFrame([(1, data)], "media_id bigint, bytes binary")).collect()
+    assert row["error"] is None and row["red"] == np.bincount(pixels // 32, minlength=8).tolist()
+
+
 def test_gif_disposal_transparency_interlace():
     def image(left, top, rows, columns, pixels, disposal=1, clear=None, interlace=False, palette=None):
         head = b"\x21\xf9\x04" + bytes([disposal << 2 | (clear is not None), 7, 0, clear or 0]) + b"\0"
