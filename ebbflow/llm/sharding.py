@@ -9,8 +9,11 @@ documents start on shards by a hash of their id. In every round
 3. each shard has room for its quota less what it holds; where more ask, the share that fits is let in (small groups
    as a whole, by a hash of the group; large ones by document).
 
-Rounds end when nothing moves, or after ``rounds``. Then a shard gives up what is over its quota, and these and all
-unlinked documents fill the shards that have room left. So the law is ``rows``: the counts of any two shards differ by one at most.
+Rounds end when nothing moves, or after ``rounds``; full shards admit nothing, so rounds alone can leave groups split.
+Then ``settle`` makes the rest whole: a group that lies on one shard stays if the shard's quota holds it, and all other
+groups, those larger than a shard first, are laid one after the other into the places left free. A group is cut only
+where a shard's free places end, so at most ``shards`` - 1 groups that a shard could hold are cut, however full the shards are. All unlinked
+documents take the places after them. So the law is ``rows``: the counts of any two shards differ by one at most.
 
 Only tables with a row a shard reach the driver. Ranks within a shard or over all rows are taken within hash buckets and
 carried over the buckets, so no task holds a shard, a group or the whole table.
@@ -31,6 +34,7 @@ from ebbflow.llm import support
 SHARDS, ROUNDS = 40, 8
 OVERHEAD = 16
 ORDER = ("h", "doc_id", "size", "text_crc32", "g")
+ROW = ("doc_id", "size", "text_crc32", "g", "h")
 
 
 def _ranked(rows: DataFrame, keys: list[str], buckets: int, name: str) -> DataFrame:
@@ -71,24 +75,48 @@ def shard(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS, id_col: s
     linked = support.checkpoint(base.join(groups, "g").withColumn("shard", F.pmod("h", F.lit(shards)).cast("int")))
     linked = propagate(linked, quotas, rounds)
 
-    # What is over a quota, and all unlinked rows, fill the shards with room.
-    placed = _ranked(linked.drop("members"), ["shard"], buckets, "place").withColumn("over", F.col("place") >= _pick(quotas, F.col("shard")))
-    placed = support.checkpoint(placed.drop("place"))
-    kept = _counts(placed.filter("not over"), "shard", shards)
-    loose = base.join(groups, "g", "left_anti").select("doc_id", "size", "text_crc32", "g", "h").union(placed.filter("over").select("doc_id", "size", "text_crc32", "g", "h"))
+    fixed, moved, ahead = settle(linked, quotas, buckets)
+    kept = _counts(fixed, "shard", shards)
     ends, at = [], 0
     for quota, k in zip(quotas, kept):
         at += quota - k
         ends.append(at)
-    loose = _ranked(loose, [], buckets, "place")
-    filled = loose.withColumn("shard", F.size(F.filter(F.array(*map(F.lit, ends)), lambda e: e <= F.col("place"))).cast("int")).drop("place")
-    every = placed.filter("not over").select("doc_id", "size", "text_crc32", "g", "h", "shard").union(filled.select("doc_id", "size", "text_crc32", "g", "h", "shard"))
+    # Groups without a shard, then all unlinked rows, fill the shards with room.
+    loose = _ranked(base.join(groups, "g", "left_anti").select(*ROW), [], buckets, "place").withColumn("place", F.col("place") + ahead)
+    filled = moved.select(*ROW, "place").union(loose.select(*ROW, "place"))
+    filled = filled.withColumn("shard", F.size(F.filter(F.array(*map(F.lit, ends)), lambda e: e <= F.col("place"))).cast("int"))
+    every = fixed.select(*ROW, "shard").union(filled.select(*ROW, "shard"))
     every = support.checkpoint(every)
     return _ranked(every, ["shard"], buckets, "slot").select(
         F.col("doc_id").alias(id_col), "size", "text_crc32", F.lit("rows").alias("law"), "shard", F.col("slot").cast("bigint").alias("slot"), F.lit(None).cast("int").alias("grown_shard")
     )
 
 
+def _starts(groups: DataFrame, keys: list[str], buckets: int) -> DataFrame:
+    """Adds ``start``: the members of the groups (g, members) before this one within its keys."""
+    groups = groups.withColumn("bucket", F.pmod(F.xxhash64(F.lit(55), "g"), F.lit(buckets)))
+    within = Window.partitionBy(*keys).orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
+    before = groups.groupBy(*keys, "bucket").agg(F.sum("members").alias("there")).select(*keys, "bucket", (F.sum("there").over(within) - F.col("there")).alias("before"))
+    here = F.sum("members").over(Window.partitionBy(*keys, "bucket").orderBy("g").rowsBetween(Window.unboundedPreceding, 0))
+    return groups.withColumn("here", here).join(before, [*keys, "bucket"]).withColumn("start", F.col("before") + F.col("here") - F.col("members")).drop("bucket", "here", "before")
+
+
+def settle(linked: DataFrame, quotas: list[int], buckets: int) -> tuple[DataFrame, DataFrame, int]:
+    """Rows whose whole group stays on its shard; all others with a ``place`` that keeps groups together; their number."""
+    counted = linked.groupBy("g", "shard").agg(F.count(F.lit(1)).alias("k"), F.first("members").alias("members"))
+    whole = counted.filter(F.col("k") == F.col("members")).select("g", "shard", "members")
+    stay = _starts(whole, ["shard"], buckets).filter(F.col("start") + F.col("members") <= _pick(quotas, F.col("shard"))).select("g")
+    stay = support.checkpoint(stay)
+    fixed = linked.join(stay, "g", "left_semi")
+    left = linked.join(stay, "g", "left_anti")
+    rest = left.groupBy("g").agg(F.count(F.lit(1)).alias("members")).withColumn("small", (F.col("members") <= min(quotas)).cast("int"))
+    rest = support.checkpoint(_starts(rest, ["small"], buckets))
+    total = {r["small"]: r["n"] for r in rest.groupBy("small").agg(F.sum("members").alias("n")).collect()}
+    first = rest.select("g", (F.col("start") + F.when(F.col("small") == 1, total.get(0, 0)).otherwise(0)).alias("start"))
+    moved = _ranked(left.drop("members", "shard"), ["g"], buckets, "nth_of").join(first, "g").withColumn("place", F.col("start") + F.col("nth_of"))
+    return fixed, support.checkpoint(moved.select(*ROW, "place")), sum(total.values())
+
+
 def propagate(linked: DataFrame, quotas: list[int], rounds: int) -> DataFrame:
     """Rounds of moves of (doc_id, size, text_crc32, g, h, members, shard) towards the shards of their groups."""
     shards = len(quotas)

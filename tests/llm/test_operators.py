@@ -390,6 +390,19 @@ def test_shards_are_even_and_keep_groups(spark):
     assert sorted(map(tuple, again), key=str) == sorted(map(tuple, got), key=str)
 
 
+@pytest.mark.parametrize("sizes", [[2 + k % 9 for k in range(300)], [900, 900], [150] * 12])
+def test_shards_keep_groups_where_every_row_has_a_copy(spark, sizes):
+    rows = [(i, f"text {g}") for i, g in enumerate(g for g, n in enumerate(sizes) for _ in range(n))]
+    got = sharding.shard(spark.createDataFrame(rows, "doc_id bigint, text string"), shards=10).collect()
+    text, where, count = dict(rows), {}, {}
+    for r in got:
+        where.setdefault(text[r["doc_id"]], set()).add(r["shard"])
+        count[r["shard"]] = count.get(r["shard"], 0) + 1
+    assert len(got) == len(rows) and max(count.values()) - min(count.values()) <= 1 and len(count) == 10
+    quota, spare = len(rows) // 10, [len(where[f"text {g}"]) - -(-n // (len(rows) // 10)) for g, n in enumerate(sizes)]
+    assert quota and sum(max(0, x) for x in spare) <= 9 and max(map(len, where.values())) <= -(-max(sizes) // quota) + 1
+
+
 def test_shards_on_awkward_rows(awkward, nothing):
     rows = sharding.shard(awkward, shards=4).collect()
     assert len(rows) == len(AWKWARD) and sorted(r["shard"] for r in rows) == [0, 0, 0, 1, 1, 1, 2, 2, 2, 3, 3] and sharding.shard(nothing).count() == 0
