@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ebbflow.functions import convert, parse
-from ebbflow.functions.model import ColumnSpec, TableSpec, position
+from ebbflow.functions.model import ColumnSpec, ReplicationHalted, Strategy, TableSpec, position
 from ebbflow.operators import apply, fold, order, quorum, state
 from ebbflow.plans import replay
+from ebbflow.plans.store import Store
+from ebbflow.shared import checkpoint, shared_folder
 from ebbflow.sources import feeds
+from ebbflow.streaming.runner import Replicator
 
 E, OL = feeds.EVENTS_FEED, feeds.SALES_FEED
 NARROW = TableSpec("narrow", ("user_id",), (ColumnSpec("user_id", "Int64", False), ColumnSpec("last_type", "Utf8"), ColumnSpec("last_value", "Int16")))
@@ -137,8 +143,12 @@ def key_filter(spark, d):
     return order.without_blocked(rows, _blocked(spark, d, 7)).groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.sum(F.get("key", F.lit(0)).cast("bigint")).alias("keys"))
 
 
+def _late(spark, d):
+    return order.out_of_order(checkpoint(_e(spark, d).drop("value")))
+
+
 def out_of_order(spark, d):
-    return order.out_of_order(_e(spark, d)).select("offset", *_pos(), *_at("last_hb", "hb_step", "hb_tx_id"))
+    return _late(spark, d).select("offset", *_pos(), *_at("last_hb", "hb_step", "hb_tx_id"))
 
 
 def _commands(spark, d):
@@ -158,16 +168,16 @@ def command_decisions(spark, d):
 
 
 def problem_resolution(spark, d):
-    return order.resolve(order.out_of_order(_e(spark, d)), _commands(spark, d), E).select("offset", "decision")
+    return order.resolve(_late(spark, d), _commands(spark, d), E).select("offset", "decision")
 
 
 def dead_letters(spark, d):
-    late = order.resolve(order.out_of_order(_e(spark, d)), _commands(spark, d), E).filter("decision = 'dead_letter'")
+    late = order.resolve(_late(spark, d), _commands(spark, d), E).filter("decision = 'dead_letter'")
     return order.dead_letters(late, E).select("offset", "key_json", *_pos(), F.col("hb_step").cast("bigint").alias("hb_step"), "text")
 
 
 def stop_diagnostics(spark, d):
-    log = _e(spark, d)
+    log = checkpoint(_e(spark, d).drop("value"))
     late = order.out_of_order(log)
     return order.stop_diagnostics(log, late.orderBy("offset").limit(1)).select("offset", *_pos())
 
@@ -223,8 +233,18 @@ def pending_changes(spark, d):
     return order.pending(parse.changes(_e(spark, d)).join(F.broadcast(_found(spark, d))), F.col("quorum")).select("offset")
 
 
+def _written(spark, d):
+    """The changes of the events feed, parsed and written once."""
+    return checkpoint(parse.changes(_e(spark, d)).select("stream_id", "partition", "offset", "step", "tx_id", "kind", "key", "cols"))
+
+
 def global_order(spark, d):
-    return order.global_order(parse.changes(_e(spark, d))).select("offset", "place")
+    return order.global_order(_written(spark, d)).select("offset", "place")
+
+
+def global_order_rows(spark, d):
+    """Whole rows next to their place."""
+    return order.global_order(_written(spark, d)).select("offset", "place", *_pos(), "kind", F.get("key", F.lit(0)).cast("bigint").alias("user_id"), F.col("cols")["last_type"].alias("last_type"))
 
 
 def pop_top_n(spark, d):
@@ -237,16 +257,16 @@ def pop_top_n_below(spark, d):
 
 
 def initial_scan_chunk(spark, d):
-    return order.chunks(parse.changes(_e(spark, d)), CHUNK).filter("chunk = 1").select("offset")
+    return order.chunks(_written(spark, d), CHUNK).filter("chunk = 1").select("offset")
 
 
 def initial_scan_chunks(spark, d):
-    return order.chunks(parse.changes(_e(spark, d)), CHUNK).groupBy("chunk").agg(F.count(F.lit(1)).alias("n"), F.min("offset").alias("first_offset"))
+    return order.chunks(_written(spark, d), CHUNK).groupBy("chunk").agg(F.count(F.lit(1)).alias("n"), F.min("offset").alias("first_offset"))
 
 
 def _ready(spark, d):
-    rows, _ = replay.placed(log := _e(spark, d), E, _last(log))
-    return replay.typed(rows.filter("apply_batch is not null"), feeds.USERS)
+    rows, _ = replay.placed(_e(spark, d), E)
+    return replay.keyed(rows.filter("apply_batch is not null and violation is null"), feeds.USERS)
 
 
 def net_changes(spark, d):
@@ -259,7 +279,7 @@ def net_deletes(spark, d):
 
 
 def column_overlay(spark, d):
-    return fold.cells(_ready(spark, d), ["user_id"])
+    return fold.cells(_ready(spark, d), feeds.USERS)
 
 
 def modification_counts(spark, d):
@@ -311,9 +331,9 @@ def stage_transition(spark, d):
 
 def recovery_replay(spark, d):
     """Replays half of the log, then the rest on what the first half left: tables, waiting changes, heartbeats."""
-    log = _e(spark, d)
+    log = checkpoint(_e(spark, d).drop("value", "error"))
     half = _last(log) // 2
-    first = replay.replay(log.filter(F.col("batch") <= half), E)
+    first = replay.replay(log.filter(F.col("batch") <= half), E, last_batch=half)
     rest = log.filter((F.col("batch") > half) | (F.col("kind") == "resolved"))
     return replay.replay(rest.unionByName(first.pending.select(*log.columns)), E, first.tables).tables["users"]
 
@@ -361,6 +381,82 @@ def replication_lag(spark, d):
     return quorum.advancing(_plan(spark, d)).select("batch", order.lag_ms(F.col("quorum.step"), F.lit(NOW_MS).cast("bigint")).alias("lag_ms"))
 
 
+def throughput(spark, d):
+    """Changes that each batch applies, by second of the feed's time between its checkpoint and its quorum."""
+    rows, plan = replay.placed(_e(spark, d), E)
+    done = rows.filter("apply_batch is not null").groupBy("apply_batch").agg(F.count(F.lit(1)).alias("changes"))
+    seconds = (F.col("quorum.step") - F.col("checkpoint.step")).cast("double") / 1000
+    return done.join(quorum.advancing(plan), F.col("batch") == F.col("apply_batch")).select("batch", "changes", (F.col("changes") / seconds).alias("per_second"))
+
+
+#: Texts that a column of each type accepts and rejects.
+SAMPLES = (
+    ("Bool", "true", "yes"), ("Int8", "-128", "128"), ("Int16", "300", "40000"), ("Int32", "5", "1.5"), ("Int64", "9", "1e2"), ("Uint8", "255", "256"),
+    ("Uint16", "65535", "-1"), ("Uint32", "4294967295", "4294967296"), ("Uint64", "18446744073709551615", "18446744073709551616"), ("Float", "1.5", "x"),
+    ("Double", "1000", "NaN"), ("Date", "19000", "d"), ("Timestamp", "2024-01-02T03:04:05.000006Z", "2024-01-02T03:04:05Z"), ("Interval", "7000000", "x"),
+    ("String", "aGk=", "%"), ("Uuid", "123E4567-e89b-12d3-a456-426614174000", "123"), ("Utf8", "x", None), ("Yson", "<a>b", None), ("Json", "{}", None),
+    ("TzDate", "2024-01-02,UTC", None), ("TzDatetime", "2024-01-02T03:04:05,UTC", None), ("TzTimestamp", "2024-01-02T03:04:05.1,UTC", None),
+)
+
+
+def type_conversions(spark, d):
+    """Every type with a text that it accepts and one that it rejects; values as text, intervals in seconds."""
+    given = spark.createDataFrame(SAMPLES, "type string, good string, bad string")
+    good = bad = F.lit(None).cast("string")
+    for name, *_ in SAMPLES:
+        shown = lambda v: F.base64(v) if name == "String" else F.unix_micros(v).cast("string") if name == "Timestamp" else (F.unix_micros(F.timestamp_seconds(F.lit(0)) + convert.interval(v)) / 1000000).cast("bigint").cast("string") if name == "Interval" else v.cast("string")  # noqa: B023, E731
+        good = F.when(F.col("type") == name, shown(convert.convert(F.col("good"), name))).otherwise(good)
+        bad = F.when(F.col("type") == name, convert.convert(F.col("bad"), name).cast("string")).otherwise(bad)
+    return given.select("type", good.alias("good"), bad.alias("bad"))
+
+
+SLICES = 4
+
+
+def _streamed(spark, d, table, strategy):
+    """The feed run through the streaming replica in a few micro-batches: (store, folder of dead letters, why it stopped)."""
+    s = replace(E.streams[0], table=table, strategy=strategy)
+    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    rows = checkpoint(feeds.events(spark, d))
+    last = _last(rows)
+    run = Replicator(store := Store(spark, f"{folder}/store", "main"), replace(E, streams=(s,)), dead_letters=f"{folder}/letters")
+    for k in range(SLICES):
+        try:
+            run(rows.filter(F.expr(f"batch * {SLICES} div {last + 1}") == k), k)
+        except ReplicationHalted as why:
+            return store, f"{folder}/letters", str(why)
+    return store, f"{folder}/letters", run.halted
+
+
+def _letters(spark, path):
+    return spark.read.option("recursiveFileLookup", True).parquet(path).select("offset", "reason", "text")
+
+
+def stream_late(spark, d):
+    """Dead letters of the streaming replica: late changes, also those whose heartbeat came with an earlier micro-batch."""
+    return _letters(spark, _streamed(spark, d, feeds.USERS, Strategy.CONTINUE)[1])
+
+
+def stream_violations(spark, d):
+    """Dead letters of a replica whose table fits only some changes."""
+    return _letters(spark, _streamed(spark, d, NARROW, Strategy.CONTINUE)[1])
+
+
+def stream_stop(spark, d):
+    """What a replica that stops at problems has stored: its state and the late changes read on the way out."""
+    store, letters, _ = _streamed(spark, d, feeds.USERS, Strategy.STOP)
+    found = store.manifest()
+    return _letters(spark, letters).select("offset", F.lit(found.state).alias("state"), F.lit(found.last_msg).alias("last_msg"), F.lit(found.step).cast("bigint").alias("step"))
+
+
+def stream_table(spark, d):
+    """The table that the streaming replica leaves, and its checkpoint as key -1."""
+    store, _, _ = _streamed(spark, d, feeds.USERS, Strategy.CONTINUE)
+    found = store.manifest()
+    mark = spark.range(1).select(F.lit(-1).cast("bigint").alias("user_id"), F.lit(found.stage).alias("last_type"), F.lit(found.step).cast("bigint").alias("last_value"), F.lit(found.state).alias("props"))
+    return store.read("users", found).select("user_id", "last_type", "last_value", "props").union(mark)
+
+
 def request_size(spark, d):
     return fold.request_bytes(parse.changes(_ol(spark, d)))
 
@@ -371,9 +467,9 @@ QUERIES = {
         changelog_scan, topic_layout, classify_messages, parse_changes, image_select, parse_heartbeats, route_tables, key_text, filter_key, typed_conversion,
         row_build, schema_violations, column_sets, drop_stale, drop_stale_heartbeats, blocked_keys_scan, blocked_keys_upsert, key_filter, out_of_order,
         command_scan, command_decisions, problem_resolution, dead_letters, stop_diagnostics, last_heartbeat, max_heartbeat, quorum_ready, sync_quorum,
-        quorum_schedule, missing_heartbeats, ready_changes, pending_changes, global_order, pop_top_n, pop_top_n_below, initial_scan_chunk,
+        quorum_schedule, missing_heartbeats, ready_changes, pending_changes, global_order, global_order_rows, pop_top_n, pop_top_n_below, initial_scan_chunk,
         initial_scan_chunks, net_changes, net_deletes, column_overlay, modification_counts, apply_upsert, apply_delete, multi_table_commit, replay_run,
         replay_run_exact, replay_on_base, stage_transition, recovery_replay, state_init, state_lookup, state_checkpoint, lease_transition,
-        replication_lag, request_size,
+        replication_lag, request_size, throughput, type_conversions, stream_late, stream_violations, stream_stop, stream_table,
     )
 } | {"quorum": quorum_now}

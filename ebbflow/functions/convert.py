@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ebbflow.functions.model import UINT64, UINT64_MAX, TableSpec
+from pyspark.sql.types import StructType
+
+from ebbflow.functions.model import UINT64, UINT64_MAX, ColumnSpec, TableSpec
 
 INTEGER = r"^-?[0-9]+$"
 NUMBER = r"^-?[0-9]+([.][0-9]+)?([eE][+-]?[0-9]+)?$"
@@ -71,6 +73,21 @@ def convert(text: Column, name: str) -> Column:
     return TYPES[name][1](text).cast(kind)
 
 
+#: Destination types by Spark type, where a schema is all that is known of a table.
+OF_SPARK = {
+    "boolean": "Bool", "tinyint": "Int8", "smallint": "Int16", "int": "Int32", "bigint": "Int64", UINT64: "Uint64", "float": "Float",
+    "double": "Double", "date": "Date", "timestamp": "Timestamp", "string": "Utf8", "binary": "String",
+}
+
+
+def table_spec(name: str, schema: StructType, key: tuple[str, ...]) -> TableSpec:
+    """A table's description from the schema of its stored rows; key columns are never null."""
+    unknown = [f.name for f in schema if f.dataType.simpleString() not in OF_SPARK]
+    if unknown:
+        raise ValueError(f"table {name}: no type fits columns {unknown}")
+    return TableSpec(name, key, tuple(ColumnSpec(f.name, OF_SPARK[f.dataType.simpleString()], f.nullable and f.name not in key) for f in schema))
+
+
 def interval(micros: Column) -> Column:
     """An Interval's microseconds as a day-time interval."""
     return F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), micros / F.lit(1000000).cast("decimal(20,6)"))

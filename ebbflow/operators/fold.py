@@ -29,54 +29,50 @@ def net_changes(changes: DataFrame, keys: list[str]) -> DataFrame:
     return changes.groupBy(*keys).agg(F.max_by("kind", order()).alias("op"))
 
 
-def _batches(changes: DataFrame, keys: list[str]) -> DataFrame:
-    """By key and batch: the last operation and the last erase's order."""
-    erased = F.when(F.col("kind") == "erase", order())
-    return changes.groupBy(*keys, "apply_batch").agg(F.max_by("kind", order()).alias("last"), F.max(erased).alias("erased_at"))
+def _winners(changes: DataFrame, keys: list[str], columns: list[str], batches: bool) -> DataFrame:
+    """By key (and batch): the last operation, the last erase, and for each column the last update that names it.
 
-
-def _keys(batches: DataFrame, keys: list[str]) -> DataFrame:
-    """By key: the last batch, its operation, the last batch that ends in an erase, the last erase of all."""
-    return batches.groupBy(*keys).agg(
-        F.max_by("last", "apply_batch").alias("op"),
-        F.max(F.when(F.col("last") == "erase", F.col("apply_batch"))).alias("gone_batch"),
-        F.max("erased_at").alias("gone_at"),
-    )
+    One aggregation with a partial step before the shuffle, so a key with any number of changes leaves a task as one row.
+    Its buffers hold strings, so Spark sorts for it; that sort is within a task, and nothing is joined back.
+    """
+    at = order()
+    erased = F.when(F.col("kind") == "erase", at)
+    wrote = [
+        F.max(F.when((F.col("kind") == "update") & F.coalesce(F.map_contains_key("cols", F.lit(c)), F.lit(False)), F.struct(at.alias("at"), F.col("cols")[c].alias("value")))).alias(f"w{i}")
+        for i, c in enumerate(columns)
+    ]
+    by = [*keys, "apply_batch"] if batches else keys
+    return changes.groupBy(*by).agg(F.max(F.struct(at.alias("at"), F.col("kind").alias("kind")))["kind"].alias("last"), F.max(erased).alias("erased_at"), *wrote)
 
 
-def cells(changes: DataFrame, keys: list[str], mode: str = REFERENCE) -> DataFrame:
-    """(keys, column, value): what the updates leave written in each cell of the keys that end in an update.
+def folded(changes: DataFrame, table: TableSpec, mode: str = REFERENCE) -> DataFrame:
+    """(keys, op, keeps_base, cols): the net operation of each key, whether cells without a write keep the old values, and the written cells.
 
-    A key's changes are aggregated before the shuffle; the joins back are by key, where skewed keys are split.
+    A cell counts if its last write comes after the last erase that could clear it. In ``reference`` mode that is the last
+    erase of the write's own batch, and the last batch that ends in an erase; no earlier write can count if the last one doesn't.
     """
-    batches = _batches(changes, keys)
-    of = _keys(batches, keys).withColumnsRenamed({k: f"of_{k}" for k in keys})
-    by = batches.select(*(F.col(k).alias(f"by_{k}") for k in keys), F.col("apply_batch").alias("by_batch"), "erased_at")
-    updates = changes.filter("kind = 'update'")
+    keys, columns = list(table.key), [c.name for c in table.values]
     if mode == EXACT:
-        alive = F.col("gone_at").isNull() | (order() > F.col("gone_at"))
-        joined = updates
+        net = _winners(changes, keys, columns, False)
+        clear, alive = F.col("erased_at"), lambda w: w["at"] > F.col("erased_at")
+        net = net.withColumnRenamed("last", "op")
     else:
-        alive = (F.col("gone_batch").isNull() | (F.col("apply_batch") > F.col("gone_batch"))) & (F.col("erased_at").isNull() | (order() > F.col("erased_at")))
-        match = F.col("apply_batch") == F.col("by_batch")
-        for k in keys:
-            match = match & (F.col(k) == F.col(f"by_{k}"))
-        joined = updates.join(by, match)
-    match = F.lit(True)
-    for k in keys:
-        match = match & (F.col(k) == F.col(f"of_{k}"))
-    written = joined.join(of, match).filter((F.col("op") == "update") & alive)
-    flat = written.select(*keys, order().alias("ord"), F.explode("cols").alias("column", "value"))
-    return flat.groupBy(*keys, "column").agg(F.max_by("value", "ord").alias("value"))
-
-
-def folded(changes: DataFrame, table: TableSpec, mode: str = REFERENCE) -> DataFrame:
-    """(keys, op, keeps_base, cols): the net operation of each key, whether cells without a write keep the old values, and the written cells."""
-    keys = list(table.key)
-    summary = _keys(_batches(changes, keys), keys)
-    base = F.col("gone_batch").isNull() if mode == REFERENCE else F.col("gone_at").isNull()
-    left = cells(changes, keys, mode).groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("column", "value"))).alias("cols"))
-    return summary.withColumn("keeps_base", base).join(left, keys, "left").select(*keys, "op", "keeps_base", "cols")
+        one = _winners(changes, keys, columns, True)
+        kept = [F.max(F.when((F.col("last") == "update") & (F.col("erased_at").isNull() | (F.col(f"w{i}.at") > F.col("erased_at"))), F.col(f"w{i}"))).alias(f"w{i}") for i in range(len(columns))]
+        net = one.groupBy(*keys).agg(
+            F.max(F.struct("apply_batch", "last"))["last"].alias("op"),
+            F.max(F.when(F.col("last") == "erase", F.col("apply_batch"))).alias("gone_batch"),
+            *kept,
+        )
+        clear, alive = F.col("gone_batch"), lambda w: w["at"]["apply_batch"] > F.col("gone_batch")
+    cells = [F.when(F.col(f"w{i}").isNotNull() & (clear.isNull() | alive(F.col(f"w{i}"))), F.struct(F.lit(c).alias("key"), F.col(f"w{i}.value").alias("value"))) for i, c in enumerate(columns)]
+    cols = F.map_from_entries(F.array_compact(F.array(*cells))) if cells else F.create_map().cast("map<string,string>")
+    return net.select(*keys, "op", clear.isNull().alias("keeps_base"), F.when(F.col("op") == "update", cols).alias("cols"))
+
+
+def cells(changes: DataFrame, table: TableSpec, mode: str = REFERENCE) -> DataFrame:
+    """(keys, column, value): what the updates leave written in each cell of the keys that end in an update."""
+    return folded(changes, table, mode).select(*table.key, F.explode("cols").alias("column", "value"))
 
 
 def column_sets(changes: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ebbflow.catalog import BAD, CHUNK, MIDDLE, NOW_MS, POP
+from ebbflow.catalog import BAD, CHUNK, MIDDLE, NOW_MS, POP, SLICES
 
 BATCH, DAY, P = 1_000_000_000_000, 86_400_000, 1_000_000_000
 
@@ -120,6 +120,38 @@ def _with(ctes: str, query: str) -> str:
     return f"WITH {ctes.strip()}\n{query.strip()}"
 
 
+# Late changes in full, their text, and the micro-batch that brings them.
+TEXT = f"'late ' || kind || ' on events_cdc/' || part || ': key ' || kj || ', position [' || step || ', ' || tx || '], last heartbeat [' || {_step('lh')} || ', 0]'"
+SLICED = (
+    LATE
+    + f""",
+lx AS (SELECT lt.*, {TEXT} AS text, (off // {BATCH}) * {SLICES} // (last + 1) AS slice FROM lt, mx),
+tr AS (SELECT off AS since, lh AS line, slice, 'late on events_cdc/' || part || ' at ' || off || ': ' || text AS why FROM lx ORDER BY slice, part, off LIMIT 1),
+ps1 AS (SELECT part, min(slice_of) AS passed FROM (SELECT sn.part, (sn.off // {BATCH}) * {SLICES} // (last + 1) AS slice_of, sn.pos, sn.kind FROM sn, mx) x, tr WHERE kind = 'resolved' AND pos > line GROUP BY part),
+en AS (SELECT CASE WHEN count(*) = 3 THEN greatest(max(passed), any_value(slice)) ELSE 99 END AS stop_slice FROM ps1, tr)"""
+)
+# The streaming replica over the feed without late changes: the first micro-batch holds heartbeats of all partitions; the scan ends
+# with the first quorum beyond its furthest one.
+STREAMED = LATE + f""",
+sl AS (SELECT ch.*, (off // {BATCH}) * {SLICES} // (last + 1) AS slice FROM ch, mx WHERE off NOT IN (SELECT off FROM lt)),
+hs AS (SELECT hp.*, (off // {BATCH}) * {SLICES} // (last + 1) AS slice FROM hp, mx),
+ss AS (SELECT unnest(range(0, {SLICES})) AS slice),
+gs AS (SELECT slice, part, max(m) OVER (PARTITION BY part ORDER BY slice) AS m FROM ss CROSS JOIN ps LEFT JOIN (SELECT slice, part, max(pos) AS m FROM hs GROUP BY slice, part) USING (slice, part)),
+qz AS (SELECT slice, CASE WHEN count(m) = 3 THEN min(m) END AS q, max(m) AS furthest FROM gs GROUP BY slice),
+sc AS (SELECT min(slice) AS full_slice, arg_min(furthest, slice) AS line FROM qz WHERE q IS NOT NULL),
+sy AS (SELECT min(qz.slice) AS sync_slice, arg_min(q, qz.slice) AS sync FROM qz, sc WHERE q > line),
+qq AS (SELECT slice, q, coalesce(max(q) OVER (ORDER BY slice ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ckpt FROM qz, sy WHERE slice >= sync_slice),
+fs AS (SELECT sl.* FROM sl LEFT JOIN qq USING (slice) WHERE pos >= coalesce(ckpt, 0)),
+ax AS (SELECT fs.*, CASE WHEN fs.slice < full_slice THEN fs.slice ELSE (SELECT min(qq.slice) FROM qq WHERE qq.slice >= fs.slice AND qq.q > fs.pos) END AS at_slice FROM fs, sc),
+cx AS (SELECT ax.*, CASE WHEN at_slice <= sync_slice THEN (row_number() OVER (PARTITION BY at_slice ORDER BY pos, off) - 1) // {CHUNK} ELSE 0 END AS chunk FROM ax, sy WHERE at_slice IS NOT NULL),
+w AS (SELECT *, at_slice * 1000000 + chunk AS ab, row_number() OVER (ORDER BY at_slice, chunk, pos, off) AS g FROM cx)"""
+
+# Messages of the feed of orders and lines, character by character.
+SIZES = OL + """,
+ms AS (SELECT 1 AS stream_id, CASE n WHEN 0 THEN '{"update":{"status":"' || status || '","total":' || total || ',"priority":"' || prio || '"}' WHEN 1 THEN '{"update":{"status":"' || status || '"}' ELSE '{"erase":{}' END
+    || ',"key":[' || k || '],"ts":[' || step || ',' || k || ']}' AS v FROM o
+  UNION ALL SELECT 2, CASE kind WHEN 'update' THEN '{"update":{"qty":' || qty || ',"price":' || price || ',"flag":"' || flag || '"}' ELSE '{"erase":{}' END || ',"key":[' || k || ',' || ln || '],"ts":[' || step || ',' || k || ']}' FROM l)"""
+
 BLOCKED = "upper('01' || hex(encode('orders' || o_orderkey)))"
 
 ORACLES = {
@@ -159,6 +191,7 @@ dr AS (SELECT sn.*, line, coalesce(max(CASE WHEN kind = 'resolved' AND pos > lin
     "ready_changes": _with(PLAN, 'SELECT off AS "offset" FROM ch WHERE pos < (SELECT max(q) FROM pl)'),
     "pending_changes": _with(PLAN, 'SELECT off AS "offset" FROM ch WHERE pos >= (SELECT max(q) FROM pl)'),
     "global_order": _with(EV, 'SELECT off AS "offset", row_number() OVER (ORDER BY pos, off) AS place FROM ch'),
+    "global_order_rows": _with(EV, "SELECT off AS \"offset\", row_number() OVER (ORDER BY pos, off) AS place, step, tx AS tx_id, kind, user_id, CASE WHEN kind = 'update' THEN event_type END AS last_type FROM ch"),
     "pop_top_n": _with(EV, f'SELECT off AS "offset" FROM ch ORDER BY pos, off LIMIT {POP}'),
     "pop_top_n_below": _with(PLAN, f'SELECT off AS "offset" FROM ch WHERE pos < (SELECT q FROM pl WHERE b = {MIDDLE}) ORDER BY pos, off LIMIT {POP}'),
     "initial_scan_chunk": _with(EV, f'SELECT "offset" FROM (SELECT off AS "offset", (row_number() OVER (ORDER BY pos, off) - 1) // {CHUNK} AS c FROM ch) WHERE c = 1'),
@@ -183,5 +216,16 @@ UNION ALL SELECT 'checkpoint', CAST({_step('max(q)')} AS VARCHAR), '0', NULL, NU
     "state_checkpoint": _with(STATES, "SELECT id, CASE WHEN n_nationkey % 4 = 0 THEN 999 ELSE step_id END AS step_id, CASE WHEN n_nationkey % 4 = 0 THEN CAST(n_nationkey AS BIGINT) ELSE tx_id END AS tx_id, state, stage FROM st"),
     "lease_transition": """SELECT n_nationkey, CASE WHEN n_nationkey % 3 <> 1 OR n_nationkey * 100 <= 1000 THEN 'me' ELSE 'you' END AS owner,
   CASE WHEN n_nationkey % 3 <> 1 OR n_nationkey * 100 <= 1000 THEN CAST(1020 AS BIGINT) ELSE CAST(n_nationkey AS BIGINT) * 100 END AS deadline FROM nation""",
+
+    "request_size": _with(SIZES, "SELECT stream_id, CAST(sum(strlen(v)) AS BIGINT) AS bytes FROM ms GROUP BY stream_id"),
+    "throughput": _with(PLAN, f"SELECT pl.b AS batch, count(*) AS changes, count(*) / (CAST({_step('any_value(q)')} - {_step('any_value(ckpt)')} AS DOUBLE) / 1000) AS per_second FROM pd JOIN pl ON pl.b = pd.ab GROUP BY pl.b"),
+    "type_conversions": """SELECT * FROM (VALUES ('Bool', 'true'), ('Int8', '-128'), ('Int16', '300'), ('Int32', '5'), ('Int64', '9'), ('Uint8', '255'), ('Uint16', '65535'), ('Uint32', '4294967295'),
+  ('Uint64', '18446744073709551615'), ('Float', '1.5'), ('Double', '1000.0'), ('Date', '2022-01-08'), ('Timestamp', CAST(epoch_us(TIMESTAMP '2024-01-02 03:04:05.000006') AS VARCHAR)), ('Interval', '7'), ('String', base64(encode('hi'))),
+  ('Uuid', lower('123E4567-e89b-12d3-a456-426614174000')), ('Utf8', 'x'), ('Yson', '<a>b'), ('Json', '{}'), ('TzDate', '2024-01-02,UTC'), ('TzDatetime', '2024-01-02T03:04:05,UTC'), ('TzTimestamp', '2024-01-02T03:04:05.1,UTC')) t(type, good),
+  (SELECT CAST(NULL AS VARCHAR) AS bad)""",
+    "stream_late": _with(SLICED, "SELECT off AS \"offset\", 'late' AS reason, text FROM lx"),
+    "stream_violations": _with(SLICED, "SELECT off AS \"offset\", 'late' AS reason, text FROM lx UNION ALL SELECT off, 'violation', CASE WHEN event_type IN ('purchase', 'signup') THEN 'unknown column props' ELSE 'bad value for column last_value' END FROM ch WHERE off NOT IN (SELECT off FROM lx) AND (event_type IN ('purchase', 'signup') OR (event_type = 'click' AND cents NOT BETWEEN -32768 AND 32767))"),
+    "stream_stop": _with(SLICED, "SELECT off AS \"offset\", 'FATAL_ERROR' AS state, why AS last_msg, CAST(0 AS BIGINT) AS step FROM lx, tr, en WHERE lx.slice BETWEEN tr.slice AND stop_slice"),
+    "stream_table": _with(STREAMED + REFERENCE, FINAL + f" UNION ALL SELECT -1, 'RUN', {_step('max(q)')}, 'OK' FROM qq"),
     "replication_lag": _with(PLAN, f"SELECT b AS batch, greatest(0, {NOW_MS} - {_step('q')}) AS lag_ms FROM pl WHERE q > ckpt"),
 }

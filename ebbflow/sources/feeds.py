@@ -56,7 +56,7 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind, full = F.col("event_type"), F.col("event_type").isin("purchase", "signup")
     cols = F.struct(kind.alias("last_type"), F.when(kind != "view", _cents("value")).alias("last_value"), F.when(full, F.col("props")).alias("props"))
     envelope = F.struct(
-        F.when(~kind.isin("error", "signup"), cols).alias("update"),
+        F.when(kind == "signup", F.struct(kind.alias("last_type"), F.lit(None).cast("bigint").alias("last_value"), F.lit(None).cast("string").alias("props"))).when(kind != "error", cols).alias("update"),
         F.when(kind == "signup", cols).alias("newImage"),
         F.when(kind == "error", F.create_map().cast("map<string,string>")).alias("erase"),
         F.array("user_id").alias("key"),
@@ -113,9 +113,19 @@ def sales(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def from_topic(spark: SparkSession, options: dict[str, str], bounded: bool = True) -> DataFrame:
-    """Messages from a topic source with Spark's topic column names (needs the source's package on the class path)."""
+    """MESSAGE rows from a topic source (needs the source's package on the class path).
+
+    ``failOnDataLoss`` stays on unless the options say otherwise: offsets that the topic no longer holds stop the query instead of
+    being skipped. A topic knows no micro-batches; ``batch`` is 0, and the streaming replica numbers them itself.
+    """
     reader = spark.read if bounded else spark.readStream
-    return reader.format("kafka").options(**options).load().selectExpr("topic", "cast(partition as bigint) as partition", "offset", "cast(value as string) as value")
+    return as_messages(reader.format("kafka").options(**{"failOnDataLoss": "true"} | options).load())
+
+
+def as_messages(rows: DataFrame) -> DataFrame:
+    """A topic source's rows as MESSAGE rows; a column ``batch`` is taken over if there is one."""
+    batch = F.col("batch").cast("bigint") if "batch" in rows.columns else F.lit(0).cast("bigint")
+    return rows.select("topic", F.col("partition").cast("bigint").alias("partition"), F.col("offset").cast("bigint").alias("offset"), batch.alias("batch"), F.col("value").cast("string").alias("value"))
 
 
 def from_files(spark: SparkSession, path: str, files_per_batch: int | None = None, bounded: bool = True) -> DataFrame:

@@ -1,13 +1,18 @@
 """The catalogue's queries against their SQL twins at the smallest scale, where the test tables are at hand."""
 
 import os
+import shutil
+import subprocess
+import sys
+from pathlib import Path
 
 import pytest
 
 import __spark_entry__
+from ebbflow import catalog, oracles
 
 FOLDER = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-NAMES = ("parse_changes", "schema_violations", "out_of_order", "quorum_schedule", "problem_resolution", "replay_run", "replay_run_exact", "multi_table_commit", "recovery_replay")
+NAMES = sorted(set(oracles.ORACLES) & set(catalog.QUERIES))
 
 
 def rows_of(df):
@@ -32,3 +37,16 @@ def test_query_equals_sql(spark, name):
 
 def test_every_oracle_has_a_query():
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_all_but_the_training_data_operators_stand_alone(tmp_path):
+    """The entry imports, with all other queries, where the subpackage and its tests are gone; the pipeline file may stay or go."""
+    home = Path(__spark_entry__.__file__).parent
+    skip = shutil.ignore_patterns(".git", "__pycache__", "llm", "*.json", "*.md", "*.txt")
+    shutil.copytree(home, tmp_path / "copy", ignore=skip)
+    for pipeline in (True, False):
+        if not pipeline:
+            (tmp_path / "copy" / "corpus_pipeline.py").unlink(missing_ok=True)
+        code = "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()), 'pipeline' in e.queries())"
+        said = subprocess.run([sys.executable, "-B", "-c", code], cwd=tmp_path / "copy", capture_output=True, text=True, timeout=120, check=True)
+        assert said.stdout.split() == [str(len(catalog.QUERIES)), str(len(oracles.ORACLES)), "False"]

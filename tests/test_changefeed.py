@@ -3,16 +3,25 @@
 import itertools
 import json
 import random
+import urllib.error
+import urllib.request
+from dataclasses import replace
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ebbflow import config
+
 from ebbflow.functions import convert, parse
 from ebbflow.functions.model import ColumnSpec, ReplicaSpec, ReplicationHalted, StreamSpec, Strategy, TableSpec, position
 from ebbflow.operators import fold, order, quorum
 from ebbflow.plans import replay
-from ebbflow.plans.store import LeaseLost, Store
-from ebbflow.streaming.runner import Replicator
+from ebbflow.plans.lease import Lease, LeaseUnavailable, under_lease
+from ebbflow.plans.store import Change, LeaseLost, Manifest, Store
+from ebbflow.sources import feeds
+from ebbflow.streaming.metrics import HeartbeatGuard, Listener, Metrics, Registry, serve
+from ebbflow.streaming.runner import Replicator, start
 
 T = TableSpec("t", ("k",), (ColumnSpec("k", "Int64", False), ColumnSpec("a", "Utf8"), ColumnSpec("b", "Int64")))
 ONE = ReplicaSpec("i", (StreamSpec("t_cdc", 0, 2, T, Strategy.CONTINUE),))
@@ -46,12 +55,16 @@ def erase(k, ts):
         ({"update": {"a": None}, "key": [1], "ts": [18446744073709551615, 1]}, "update", None),
         ({"erase": {}, "key": [1], "ts": [1, 2]}, "erase", None),
         ({"update": {"a": "x"}, "newImage": {"b": 1}, "key": [1], "ts": [1, 2]}, "update", None),
+        ({"newImage": {"b": 1}, "key": [1], "ts": [1, 2]}, "malformed", "unknown format"),
+        ({"update": {"a": "x"}, "key": 1, "ts": [1, 2]}, "malformed", "no key"),
     ],
 )
 def test_parse(spark, value, kind, error):
     row = parse.parse(messages(spark, [(0, 0, 0, value)]), ONE).first()
     assert (row["kind"], row["error"]) == (kind, error)
-    if isinstance(value, dict) and "newImage" in value:
+    if kind == "update":
+        assert row["key"] == ["1"] and row["key_json"] == "[1]"
+    if kind == "update" and "newImage" in value:
         assert row["cols"] == {"b": "1"}
     if isinstance(value, dict) and value.get("update") == {"a": None}:
         assert row["cols"] == {"a": None} and int(row["step"]) == 18446744073709551615
@@ -187,22 +200,137 @@ def test_replay_equals_step_by_step(spark, seed, mode):
     assert got == simulate(rows, 2, mode, base)
 
 
-def test_stream_equals_step_by_step_and_recovers(spark, tmp_path):
-    rows = random_log(11)
-    store = Store(spark, str(tmp_path), "i")
-    assert store.acquire(60_000)
-    run = Replicator(store, ONE, dead_letters=str(tmp_path / "dead"))
-    kept = []
-    for batch in range(6):
-        own = [r for r in rows if r["batch"] == batch]
-        df = messages(spark, [(r["part"], r["offset"], r["batch"], as_message(r)) for r in own])
-        late = {r["offset"] for r in order.out_of_order(parse.parse(df, ONE)).collect()}
-        kept += [r for r in own if r["offset"] not in late]
-        run(df, batch)
-        run(df, batch)  # redelivered
-    found = store.read("t")
+def simulate_stream(batches, partitions, chunk):
+    """A plain model of the streaming replica: (table, late offsets, checkpoint, stage). It holds its own idea of what is late."""
+    table, last, most, waiting, checkpoint, scan_max, stage, late = {}, {}, {}, [], (0, 0), None, "INITIAL_SCAN", []
+
+    def fold_in(rows):
+        net = {}
+        for r in rows:
+            if r["kind"] == "erase":
+                net[r["key"]] = ("erase", {})
+            else:
+                op, cols = net.get(r["key"], ("update", {}))
+                net[r["key"]] = ("update", (cols if op == "update" else {}) | r["cols"])
+        for key, (op, cols) in net.items():
+            if op == "erase":
+                table.pop(key, None)
+            else:
+                table[key] = {"a": None, "b": None} | table.get(key, {}) | cols
+
+    for rows in batches:
+        for r in sorted(rows, key=lambda r: r["offset"]):
+            at = (r["step"], r["tx"])
+            if r["kind"] == "resolved":
+                last[r["part"]] = at
+                most[r["part"]] = max(most.get(r["part"], at), at)
+            elif r["part"] in last and at < last[r["part"]]:
+                late.append(r["offset"])
+            elif at >= checkpoint:
+                waiting.append(r)
+        waiting.sort(key=lambda r: (r["step"], r["tx"], r["offset"]))
+        full = len(most) == partitions
+        if stage == "INITIAL_SCAN":
+            if full and scan_max is None:
+                scan_max = max(most.values())
+            if scan_max is None:
+                ready, waiting = waiting, []
+            elif min(most.values()) > scan_max:
+                checkpoint, stage = min(most.values()), "RUN"
+                ready = [r for r in waiting if (r["step"], r["tx"]) < checkpoint]
+                waiting = [r for r in waiting if (r["step"], r["tx"]) >= checkpoint]
+            else:
+                ready = []
+            for k in range(0, len(ready), chunk):
+                fold_in(ready[k : k + chunk])
+        elif min(most.values()) > checkpoint:
+            checkpoint = min(most.values())
+            fold_in([r for r in waiting if (r["step"], r["tx"]) < checkpoint])
+            waiting = [r for r in waiting if (r["step"], r["tx"]) >= checkpoint]
+    return table, late, checkpoint, stage
+
+
+@pytest.mark.parametrize("seed", [11, 12])
+def test_stream_equals_step_by_step_and_recovers(spark, tmp_path, seed):
+    rows = random_log(seed)
+    replica = ReplicaSpec("i", ONE.streams, chunk=3)
+    batches = [[r for r in rows if r["batch"] == b] for b in range(6)]
+    store = Store(spark, str(tmp_path), "i", buckets=3)
+    assert store.acquire(600_000)
+    for batch, own in enumerate(batches):
+        df = messages(spark, [(r["part"], r["offset"], 0, as_message(r)) for r in own])
+        run = Replicator(Store(spark, str(tmp_path), "i", buckets=3) if batch == 3 else store, replica, dead_letters=str(tmp_path / "dead"))
+        if batch == 3:
+            with pytest.raises(LeaseLost):
+                run.store.commit(Manifest(version=99, epoch=99), {})
+        Replicator(store, replica, dead_letters=str(tmp_path / "dead"))(df, batch)
+        if batch < 2:
+            run(df, batch)  # redelivered
+    table, late, checkpoint, stage = simulate_stream(batches, 2, 3)
+    found, at = store.read("t"), store.manifest()
     got = {} if found is None else {r["k"]: {"a": r["a"], "b": r["b"]} for r in found.collect()}
-    assert got == simulate(kept, 2, fold.REFERENCE, {})
+    assert got == table and (at.step, at.tx_id) == checkpoint and at.stage == stage
+    letters = spark.read.option("recursiveFileLookup", True).parquet(str(tmp_path / "dead")).collect() if late else []
+    assert sorted(r["offset"] for r in letters) == sorted(late)
+    before = {r["k"]: r["a"] for r in found.collect()}
+    assert store.vacuum(keep=1) > 0 and {r["k"]: r["a"] for r in store.read("t").collect()} == before and store.vacuum(keep=1) == 0
+
+
+def test_a_late_change_is_known_by_an_earlier_batch(spark, tmp_path):
+    strict = ReplicaSpec("i", (StreamSpec("t_cdc", 0, 1, T, Strategy.STOP),))
+    run = Replicator(Store(spark, str(tmp_path / "s"), "i"), strict, drain=False)
+    run(messages(spark, [(0, 0, 0, {"resolved": [10, 0]})]), 0)
+    with pytest.raises(ReplicationHalted, match="late"):
+        run(messages(spark, [(0, 1, 0, update(1, [6, 0], b=1))]), 1)
+
+
+def test_misfits_halt_or_become_dead_letters(spark, tmp_path):
+    """Each stream's own strategy counts, whatever the order of rows; nothing vanishes and the checkpoint stays."""
+    other = TableSpec("u", ("k",), T.columns)
+    both = ReplicaSpec("i", (StreamSpec("t_cdc", 0, 1, T, Strategy.CONTINUE), StreamSpec("u_cdc", 1, 1, other, Strategy.STOP)))
+    bad = [(0, 0, 0, update(1, [1, 1], zzz=1)), (0, 1, 0, update(1, [2, 1], b="x")), (0, 2, 0, "broken"), (0, 3, 0, update(2, [3, 1], b=4)), (0, 4, 0, {"resolved": [10, 0]})]
+    store = Store(spark, str(tmp_path / "a"), "i")
+    Replicator(store, both, dead_letters=str(tmp_path / "letters"))(messages(spark, bad).union(messages(spark, [(0, 0, 0, {"resolved": [10, 0]})], "u_cdc")), 0)
+    letters = spark.read.parquet(str(tmp_path / "letters" / "batch=0" / "letters")).collect()
+    assert sorted((r["offset"], r["reason"], r["text"]) for r in letters) == [(0, "violation", "unknown column zzz"), (1, "violation", "bad value for column b"), (2, "malformed", "unknown format")]
+    for k, wrong in enumerate([update(1, [1, 1], zzz=1), "broken"]):
+        store = Store(spark, str(tmp_path / f"b{k}"), "i")
+        with pytest.raises(ReplicationHalted, match="u_cdc"):
+            Replicator(store, both)(messages(spark, bad).union(messages(spark, [(0, 9, 0, wrong)], "u_cdc")), 0)
+        found = store.manifest()
+        assert found.state == "FATAL_ERROR" and found.step == 0 and not found.tables and found.batch_id == -1
+
+
+def test_drain_reads_until_all_partitions_pass(spark, tmp_path):
+    strict = ReplicaSpec("i", (StreamSpec("t_cdc", 0, 2, T, Strategy.STOP),))
+    run = Replicator(Store(spark, str(tmp_path / "s"), "i"), strict, dead_letters=str(tmp_path / "d"))
+    run(messages(spark, [(0, 0, 0, {"resolved": [10, 0]}), (0, 1, 0, update(1, [1, 1], b=1)), (1, 0, 0, {"resolved": [9, 0]})]), 0)
+    assert "late" in run.halted and run.store.manifest().state == "FATAL_ERROR"
+    run(messages(spark, [(0, 2, 0, update(2, [3, 1], b=1)), (0, 3, 0, update(2, [12, 1], b=1)), (0, 4, 0, {"resolved": [11, 0]}), (1, 1, 0, update(3, [8, 0], b=1))]), 1)
+    with pytest.raises(ReplicationHalted, match="late"):
+        run(messages(spark, [(1, 2, 0, update(4, [2, 0], b=1)), (1, 3, 0, {"resolved": [11, 0]})]), 2)
+    letters = spark.read.option("recursiveFileLookup", True).parquet(str(tmp_path / "d")).collect()
+    assert sorted((r["partition"], r["offset"]) for r in letters) == [(0, 1), (0, 2), (1, 1), (1, 2)]
+
+
+def test_topic_rows_feed_the_replica(spark, tmp_path):
+    """Rows as a topic source gives them: binary values, integer partitions, no batch."""
+    rows = spark.createDataFrame([("t_cdc", 0, 0, json.dumps(update(1, [1, 0], b=1)).encode())], "topic string, partition int, offset bigint, value binary")
+    given = feeds.as_messages(rows.withColumns({"timestamp": F.current_timestamp(), "key": F.lit(b"k")}))
+    assert given.columns == ["topic", "partition", "offset", "batch", "value"]
+    store = Store(spark, str(tmp_path), "i")
+    Replicator(store, ONE)(given, 0)
+    assert [(r["k"], r["b"]) for r in store.read("t").collect()] == [(1, 1)] and replay.replay(parse.parse(given, ONE), ONE).pending.count() == 1
+
+
+def test_stream_runs_from_files(spark, tmp_path):
+    for k in range(2):
+        messages(spark, [(p, 10 * k + p, 0, {"resolved": [5 + 10 * k, 0]}) for p in range(2)] + [(0, 10 * k + 5, 0, update(k, [6 + 10 * k, 1], b=k))]).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    store, registry = Store(spark, str(tmp_path / "s"), "i"), Registry()
+    run = Replicator(store, ONE, registry=registry, guard=HeartbeatGuard(ONE, registry))
+    start(feeds.from_files(spark, str(tmp_path / "in"), 1, bounded=False), run, str(tmp_path / "c")).awaitTermination()
+    assert [r["k"] for r in store.read("t").collect()] == [0] and store.manifest().stage == "RUN" and store.manifest().step == 15
+    assert registry.counters["modifications_count", ""] == 1 and "replication_lag_estimation" in registry.text()
 
 
 def test_crash_before_the_manifest_changes_nothing(spark, tmp_path):
@@ -213,9 +341,9 @@ def test_crash_before_the_manifest_changes_nothing(spark, tmp_path):
         raise OSError("lost")
 
     with pytest.raises(OSError, match="lost"):
-        store.commit(old, {"t": spark.range(3).toDF("k")}, before_manifest=crash, step=5)
+        store.commit(old, {"t": Change(spark.range(3).toDF("k"), ("k",))}, before_manifest=crash, step=5)
     assert store.manifest() == old and store.read("t") is None
-    new = store.commit(old, {"t": spark.range(3).toDF("k")}, step=5)
+    new = store.commit(old, {"t": Change(spark.range(3).toDF("k"), ("k",))}, step=5)
     assert store.manifest() == new and store.read("t").count() == 3
     with pytest.raises(LeaseLost):
         store.commit(old, {}, step=6)
@@ -232,13 +360,150 @@ def test_lease_is_renewed_refused_and_taken_over(spark, tmp_path):
         a.commit(held, {}, step=1)
     b.release()
     assert a.acquire(100)
+    held = a.manifest()
+    assert a.acquire(100) and a.commit(held, {}, step=7).step == 7  # a renewal in between does no harm
+    with pytest.raises(LeaseLost):
+        a.commit(held, {}, step=8)
+
+
+def test_writers_never_share_a_version(spark, tmp_path):
+    store = Store(spark, str(tmp_path), "i")
+    old = store.manifest()
+    assert store._create(replace(old, version=1)) and not store._create(replace(old, version=1, owner="late")) and store.manifest().owner == ""
+    create, tries = store._create, []
+
+    def slow(manifest):
+        tries.append(manifest.version)
+        if len(tries) == 1:
+            create(replace(manifest, state="OK", last_msg="", owner="other"))
+        return create(manifest)
+
+    store._create = slow
+    store.fail("broken")
+    assert tries == [2, 3] and store.manifest().state == "FATAL_ERROR" and store.manifest().owner == "other"
+
+
+class Held:
+    """A store that gives its lease as told."""
+
+    instance = "i"
+
+    def __init__(self, *answers):
+        self.answers, self.released = list(answers), False
+
+    def acquire(self, ttl_ms):
+        answer = self.answers.pop(0) if len(self.answers) > 1 else self.answers[0]
+        if isinstance(answer, Exception):
+            raise answer
+        return answer
+
+    def release(self):
+        self.released = True
+
+
+def test_lease_ends_at_its_deadline_and_when_taken():
+    now, lost = [0.0], []
+    lease = Lease(Held(True, OSError(), True, False), 10, lambda: lost.append(now[0]), lambda: now[0], lambda: 0.5)
+    assert lease.pause() == 1.5 and not lease.held and lease.renew() and lease.held
+    now[0] = 9.0
+    assert not lease.renew() and lease.held and not lost  # the store was out of reach, the lease still lasts
+    now[0] = 10.0
+    with pytest.raises(LeaseLost):
+        lease.check()
+    assert lease.renew() and lease.held
+    assert not lease.renew() and not lease.held and lost == [10.0]
+
+
+def test_standby_waits_and_a_single_replica_gives_up():
+    done = []
+    store = Held(False, False, True)
+    under_lease(store, ReplicaSpec("i", ONE.streams, heartbeat_interval=0.05), lambda lease: done.append(lease.held), check_s=0.05)
+    assert done == [True] and store.released
+    with pytest.raises(LeaseUnavailable):
+        under_lease(Held(False), ReplicaSpec("i", ONE.streams, single=True), done.append, check_s=0.01, checks=3)
+    assert len(done) == 1
+
+
+def test_guard_and_quorum_over_four_partitions():
+    streams = (StreamSpec("a", 0, 2, T, mon_tag="first"), StreamSpec("b", 1, 2, T))
+    now, registry = [0.0], Registry()
+    guard = HeartbeatGuard(ReplicaSpec("i", streams, heartbeat_interval=5), registry, lambda: now[0])
+    for key, steps in {(0, 0): (3, 5, 6), (0, 1): (2, 7), (1, 0): (5,)}.items():
+        for step in steps:
+            guard.saw(*key, (step, 0))
+    assert guard.quorum() is None and guard.tick() == {"first": 0, "b": 0}
+    now[0] = 6.0
+    assert guard.tick() == {"first": 0, "b": 1} and registry.gauges["topic_without_hb", "b"] == 1
+    guard.saw(1, 1, (4, 0))
+    assert guard.quorum() == (4, 0) and guard.tick() == {"first": 0, "b": 0}
+    guard.commit((4, 0))
+    assert guard.quorum() is None and guard.silent() == {"first": 0, "b": 1}
+    guard.saw(1, 1, (5, 0))
+    assert guard.quorum() == (5, 0)
+
+
+def test_metrics_are_served():
+    registry = Registry()
+    registry.took(Metrics(123, {"tag_1": 120, "tag_2": 3}, 0.2, 0.01, 50, 1.5), 7)
+    registry.took(Metrics(333, {"tag_1": 333}, 0.1, 0.0, 50))
+    registry.set("topic_without_hb", 0, "tag_1")
+    registry.set("topic_without_hb", 1, "tag_2")
+    server = serve(registry)
+    at = f"http://127.0.0.1:{server.server_port}"
+    text = urllib.request.urlopen(f"{at}/metrics").read().decode().splitlines()
+    assert {"modifications_count 456", 'modifications_count_per_table{stream_tag="tag_1"} 453', 'topic_without_hb{stream_tag="tag_2"} 1', "commit_latency_count 2", 'commit_latency_bucket{le="0.1"} 1', "modifications_per_second 3330"} <= set(text)
+    with pytest.raises(urllib.error.HTTPError):
+        urllib.request.urlopen(f"{at}/ready")
+    Listener(registry).onQueryStarted(None)
+    assert urllib.request.urlopen(f"{at}/ready").read() == b"ready\n"
+    server.shutdown()
+
+
+def test_configuration(spark, tmp_path):
+    schema = spark.createDataFrame([], "k bigint, a string, t timestamp, n decimal(20,0)").schema
+    good = {"instance": 0, "root": "/r", "source_token": "x", "streams": [{"topic": "a", "table": "t", "partitions": 2, "key": ["k"], "problem_strategy": "Continue"}, {"topic": "b", "table": "u", "partitions": 1}]}
+    (tmp_path / "c.json").write_text(json.dumps(good))
+    found = config.load(spark, str(tmp_path / "c.json"), {"t": schema, "u": T})
+    s = found.replica.streams[0]
+    assert s.strategy is Strategy.CONTINUE and s.table.column("n").type == "Uint64" and not s.table.column("k").nullable and found.replica.single and found.source.token == "x"
+    for wrong in ({"instance": ""}, {"streams": []}, {"source_key_file": "f"}, {"log_level": "loud"}, {"max_expected_heartbeat_interval": 0}, {"streams": [{"topic": "a", "table": "none", "partitions": 1}]}, {"streams": [{"topic": "a", "table": "u", "partitions": 1, "problem_strategy": "later"}]}, {"streams": [{"topic": "a", "partitions": 1}]}):
+        with pytest.raises(config.ConfigError):
+            config.verify(good | wrong, {"t": schema, "u": T})
+    for text in ("", "- a", "a: [", "{"):
+        (tmp_path / "bad").write_text(text)
+        with pytest.raises(config.ConfigError):
+            config.load(spark, str(tmp_path / "bad"), {})
+
+
+def test_global_order_of_wide_rows(spark):
+    """More rows than the sample of bounds holds, with many equal positions and wide rows."""
+    rows = spark.range(500_000).select(F.pmod(F.xxhash64("id"), F.lit(5000)).cast("decimal(20,0)").alias("step"), (F.col("id") % 2).cast("decimal(20,0)").alias("tx_id"), F.col("id").alias("offset"), F.repeat(F.lit("x"), 200).alias("wide"))
+    ranked = order.global_order(rows.repartition(7))
+    after = Window.partitionBy(F.floor(F.col("place") / 1000)).orderBy("place")
+    steps = ranked.withColumn("before", F.lag(F.struct("step", "tx_id", "offset")).over(after))
+    row = steps.agg(F.count_distinct("place").alias("n"), F.min("place").alias("low"), F.max("place").alias("high"), F.count_if(F.col("before") > F.struct("step", "tx_id", "offset")).alias("wrong")).first()
+    assert tuple(row) == (500_000, 1, 500_000, 0)
+
+
+def test_late_changes_across_ranges_equal_a_plain_loop(spark):
+    rng, rows = random.Random(3), []
+    for i in range(4000):
+        rows.append((i % 2, i, 0, {"resolved": [max(0, i // 8 + rng.randint(-20, 5)), 0]} if rng.random() < 0.05 else update(i, [max(1, i // 8 + rng.randint(-6, 9)), i], b=1)))
+    last, want = {0: (40, 0)}, []
+    for p, o, _, v in rows:
+        if "resolved" in v:
+            last[p] = tuple(v["resolved"])
+        elif p in last and tuple(v["ts"]) < last[p]:
+            want.append(o)
+    got = order.out_of_order(parse.parse(messages(spark, rows), ONE), {(0, 0): (40, 0)})
+    assert sorted(r["offset"] for r in got.collect()) == want
 
 
 def test_stop_is_stored_before_it_is_raised(spark, tmp_path):
     strict = ReplicaSpec("i", (StreamSpec("t_cdc", 0, 2, T, Strategy.STOP),))
     store = Store(spark, str(tmp_path), "i")
     bad = messages(spark, [(0, 0, 0, {"resolved": [10, 0]}), (0, 1, 0, update(1, [1, 1], b=1))])
-    with pytest.raises(ReplicationHalted, match="late change"):
-        Replicator(store, strict)(bad, 0)
+    with pytest.raises(ReplicationHalted, match="late"):
+        Replicator(store, strict, drain=False)(bad, 0)
     with pytest.raises(ReplicationHalted, match="FATAL_ERROR"):
         Replicator(store, strict)(bad, 1)
