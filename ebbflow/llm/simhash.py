@@ -17,15 +17,17 @@ distinct fingerprint), so neither copies nor dense groups are expanded into pair
 by iterative joins, and every document takes the component of its fingerprint.
 
 ``similar_documents`` serves a similarity instead of a number of bits: documents are linked if the sets of their
-shingles have a Jaccard similarity of at least ``similarity``. Fingerprints can't decide this: at 0.8 they differ in up to 17
-bits of 64 (measured). Candidates come from a prefix filter, which misses none: if all sets are sorted in one common
-order, two sets of similarity s share one of the first n - ceil(s * n) + 1 shingles of each, n being the set's size. The
-order puts the ``COMMON`` most frequent shingles of a sample of texts last, so passages that many texts share are seldom
-in a prefix; any order gives the same links. Texts that share a prefix shingle are a group. The first round tests groups
-of up to ``SMALL_GROUP`` fully, larger ones along a chain and with their first. The second round takes the larger groups
-that are not yet one component, and tests all pairs in them that sizes allow, in pairs of blocks of about
-``BLOCK`` texts; a block pair yields a forest of its links. Links count only if the similarity of the shingle sets
-confirms them.
+shingles have a Jaccard similarity of at least ``similarity``. First come the anchors: links of fingerprints, confirmed by
+the sets. At 0.8, fingerprints differ in up to 17 bits of 64 (measured), which no covering of 64 bits decides, so an exact
+way finds the rest, a prefix filter: if all sets are sorted in one common order, two sets of similarity s share one of the
+first n - ceil(s * n) + 1 shingles of each, n being the set's size. The order puts the ``COMMON`` most frequent shingles
+of a sample of texts last, so passages that many texts share are seldom in a prefix; any order gives the same links.
+Texts that share a prefix shingle are a group; groups of more than ``GROUP`` texts are cut by a hash of the text into parts of about
+that size, so no task holds a hot one. The first round tests, within parts, neighbours and each text with the part's first (parts of up
+to ``SMALL`` texts fully). The second round takes all groups of more than ``SMALL`` texts that are not yet one component, and
+tests all their pairs that sizes allow and that are in different components, in pairs of blocks of about ``BLOCK`` texts; a block pair yields a forest of its links.
+So no pair is missed, whatever a group's size. Sets hold 48 bits of each shingle's hash: two texts of a million words
+have a false shingle in common with a probability of 0.004.
 
 Defined results: null, empty and wordless texts share fingerprint zero and are linked like any other; rows with a null
 id can't name a component and are named by the smallest other id they reach, else null; equal rows stay separate rows; an
@@ -53,8 +55,10 @@ LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 SEED, THRESHOLD = 42, 2
 #: Shingles that are hashed at once, which bounds memory for long texts.
 AT_ONCE = 1 << 16
-#: Groups up to this size are compared fully in the first round.
-SMALL_GROUP = 8
+#: Groups up to this size are compared fully in the first round; groups beyond ``GROUP`` are cut into parts there.
+SMALL, GROUP = 8, 4096
+#: Bytes that are kept of a shingle's hash.
+KEPT = 6
 #: Rows of a group that are compared with the whole group at once.
 BLOCK = 512
 #: Most shingles that are put last, the share of texts they are counted in (one of so many), and the least count there.
@@ -95,14 +99,26 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
     return majority(shingle_hashes(words_of(text), shingle))
 
 
+def packed(tokens: np.ndarray) -> bytes:
+    """A sorted set of hashes as ``KEPT`` bytes each."""
+    return tokens.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :KEPT].tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    whole = np.zeros((len(data) // KEPT, 8), np.uint8)
+    whole[:, :KEPT] = np.frombuffer(data, np.uint8).reshape(-1, KEPT)
+    return whole.view("<u8").reshape(-1)
+
+
 def prefix(tokens: np.ndarray, common: np.ndarray, rank: np.ndarray, similarity: float) -> np.ndarray:
     """The tokens of a set that any set of that similarity shares one of; ``common`` (sorted) come last, by ``rank``."""
     n = len(tokens)
     wanted = n - math.ceil(similarity * n - 1e-9) + 1
-    order = tokens.astype(np.uint64) * np.uint64(0x9E3779B1) & np.uint64(0xFFFFFFFF)
+    with np.errstate(over="ignore"):
+        order = tokens * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(1)
     if len(common):
         at = np.minimum(np.searchsorted(common, tokens), len(common) - 1)
-        order = np.where(common[at] == tokens, np.uint64(1 << 32) + rank[at], order)
+        order = np.where(common[at] == tokens, np.uint64(1 << 63) + rank[at], order)
     return tokens if wanted >= n else tokens[np.argpartition(order, wanted - 1)[:wanted]]
 
 
@@ -228,54 +244,57 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return marked.join(placed, marked["fp"] == placed["of"]).select("doc_id", "fp", "component_id")
 
 
-def _meet(keyed: DataFrame) -> DataFrame:
-    """(key, name) to the first round's candidate pairs (u, v): all pairs of small groups, a few of large ones."""
+def _meet(keyed: DataFrame, linked: DataFrame) -> DataFrame:
+    """(key, name) to the first round's candidate pairs (u, v) that are not in one component yet (``linked``: node, component).
+
+    All pairs of small groups; of larger ones, neighbours by a hash and each member with the first of its part.
+    """
     arrow = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
-    def pairs(key: np.ndarray, name: np.ndarray) -> pa.RecordBatch:
+    def pairs(key: np.ndarray, name: np.ndarray, of: np.ndarray) -> pa.RecordBatch:
         begins = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
-        first = np.repeat(begins, np.diff(np.append(begins, len(key))))
-        size = np.repeat(np.diff(np.append(begins, len(key))), np.diff(np.append(begins, len(key))))
-        u, v = [], []
-        for lag in range(1, SMALL_GROUP):
-            at = np.flatnonzero((np.arange(len(key)) - first >= lag) & ((size <= SMALL_GROUP) | (lag == 1)))
-            u.append(name[at - lag])
-            v.append(name[at])
-        at = np.flatnonzero((np.arange(len(key)) - first >= 2) & (size > SMALL_GROUP))
-        u.append(name[first[at]])
-        v.append(name[at])
-        u, v = np.concatenate(u), np.concatenate(v)
-        low, high = np.minimum(u, v), np.maximum(u, v)
-        found = np.unique(np.stack([low, high], axis=1)[low != high], axis=0)
+        sizes = np.diff(np.append(begins, len(key)))
+        first, size = np.repeat(begins, sizes), np.repeat(sizes, sizes)
+        left, right = [], []
+        for lag in range(1, SMALL):
+            at = np.flatnonzero((np.arange(len(key)) - first >= lag) & ((size <= SMALL) | (lag == 1)))
+            left.append(at - lag)
+            right.append(at)
+        at = np.flatnonzero((np.arange(len(key)) - first >= 2) & (size > SMALL))
+        left, right = np.concatenate([*left, first[at]]), np.concatenate([*right, at])
+        new = of[left] != of[right]
+        u, v = name[left[new]], name[right[new]]
+        found = np.unique(np.stack([np.minimum(u, v), np.maximum(u, v)], axis=1), axis=0)
         return pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], schema=arrow)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, name = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        held = [np.zeros(0, np.int64)] * 3
         for batch in batches:
-            key, name = (np.concatenate([a, batch.column(i).to_numpy(zero_copy_only=False)]) for i, a in enumerate((key, name)))
-            if len(key):
-                cut = int(np.searchsorted(key, key[-1]))
-                if cut:
-                    yield pairs(key[:cut], name[:cut])
-                elif len(key) > AT_ONCE:
-                    # A group longer than memory should hold goes on with its first member and its last; the second round tests the rest.
-                    yield pairs(key, name)
-                    key, name = key[[0, -1]], name[[0, -1]]
-                    continue
-                key, name = key[cut:], name[cut:]
-        yield pairs(key, name)
-
+            held = [np.concatenate([a, c.to_numpy(zero_copy_only=False)]) for a, c in zip(held, batch.columns)]
+            if len(held[0]) and (cut := int(np.searchsorted(held[0], held[0][-1]))):
+                yield pairs(*(x[:cut] for x in held))
+                held = [x[cut:] for x in held]
+        yield pairs(*held)
+
+    # Parts of large groups: their number is counted before the shuffle, and joined to keys, where hot ones are split by hash.
+    salt = F.pmod(F.xxhash64(F.lit(97), "name"), F.lit(64))
+    counted = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("there")).filter(F.col("there") > GROUP)
+    counted = counted.select(F.col("key").alias("of"), F.ceil(F.col("there") / GROUP).cast("int").alias("parts"), F.explode(F.sequence(F.lit(0), F.lit(63)).cast("array<bigint>")).alias("of_salt"))
+    spread = keyed.withColumn("salt", salt).join(counted, (F.col("key") == F.col("of")) & (F.col("salt") == F.col("of_salt")), "left")
+    part = F.when(F.col("parts").isNull(), F.col("key")).otherwise(F.xxhash64("key", F.pmod(F.xxhash64(F.lit(95), "name"), F.col("parts"))))
+    spread = spread.select(part.alias("key"), "name").join(linked.withColumnRenamed("node", "named"), F.col("name") == F.col("named"), "left")
+    rows = spread.select("key", "name", F.coalesce("component", "name").alias("component"))
     parts = int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return keyed.repartition(parts, "key").sortWithinPartitions("key", F.xxhash64("key", "name")).mapInArrow(run, "u long, v long")
+    return rows.repartition(parts, "key").sortWithinPartitions("key", F.xxhash64("key", "name")).mapInArrow(run, "u long, v long")
 
 
 def _linked_pairs(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs whose shingle sets (``name``, ``shingles``: sorted unsigned 32-bit hashes) are similar enough."""
+    """The pairs whose shingle sets (``name``, ``shingles``: a packed set) are similar enough."""
 
     def work(rows: dict[str, list]) -> dict[str, list]:
         out: dict[str, list] = {"u": [], "v": []}
         for u, v, a, b in zip(rows["u"], rows["v"], rows["a"], rows["b"]):
-            a, b = np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32)
+            a, b = unpacked(a), unpacked(b)
             both = len(np.intersect1d(a, b, assume_unique=True))
             if both >= similarity * (len(a) + len(b) - both):
                 out["u"].append(u)
@@ -287,8 +306,10 @@ def _linked_pairs(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataF
     return support.map_arrow(two.select("u", "v", "a", "b"), work, "u long, v long")
 
 
-def _forest(names: np.ndarray, sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, similarity: float) -> list[tuple[int, int]]:
-    """Links between members ``left`` and ``right`` (positions) of similar sets, as a forest."""
+def _forest(names: np.ndarray, of: np.ndarray, sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+    """Links between members ``left`` and ``right`` (positions) of similar sets in different components (``of``), as a forest."""
+    if not len(left) or not len(right) or (of == of[0]).all():
+        return []
     sizes = np.array([len(x) for x in sets])
     tokens, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     row = np.repeat(np.arange(len(sets)), sizes)
@@ -299,12 +320,13 @@ def _forest(names: np.ndarray, sets: list[np.ndarray], left: np.ndarray, right:
     order = np.argsort(column, kind="stable")
     row, column = row[order], column[order]
     both = np.zeros((len(left), len(right)), np.float32)
-    for c in range(0, int(number[-1]) + 1, COLUMNS):
+    for c in range(0, int(number[-1]) + 1 if len(number) else 0, COLUMNS):
         part = slice(*np.searchsorted(column, [c, c + COLUMNS]))
         dense = np.zeros((len(sets), min(COLUMNS, int(number[-1]) + 1 - c)), np.float32)
         dense[row[part], column[part] - c] = 1
         both += dense[left] @ dense[right].T
     near = both >= similarity * (sizes[left][:, None] + sizes[right][None, :] - both.astype(np.float64))
+    near &= of[left][:, None] != of[right][None, :]
     a, b = np.nonzero(near)
     label = np.arange(len(sets))
     a, b = np.concatenate([left[a], right[b]]), np.concatenate([right[b], left[a]])
@@ -330,7 +352,7 @@ def _forest(names: np.ndarray, sets: list[np.ndarray], left: np.ndarray, right:
 def _rest(keyed: DataFrame, texts: DataFrame, component: DataFrame, similarity: float) -> DataFrame:
     """Links (u, v) of large groups between texts that are not yet in one component, all pairs tested."""
     workers.reach(keyed.sparkSession)
-    large = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("members")).filter(F.col("members") > SMALL_GROUP).select(F.col("key").alias("of"))
+    large = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("members")).filter(F.col("members") > SMALL).select(F.col("key").alias("of"))
     labels = component.select(F.col("node").alias("named"), "component")
     members = keyed.join(large, F.col("key") == F.col("of"), "left_semi").join(labels, F.col("name") == F.col("named"), "left")
     # Sizes of similar sets differ by one class at most; a band holds a class and the one above it.
@@ -340,24 +362,24 @@ def _rest(keyed: DataFrame, texts: DataFrame, component: DataFrame, similarity:
     open_ = members.groupBy("key", "band").agg(F.count(F.lit(1)).alias("there"), F.min("component").alias("least"), F.max("component").alias("most")).filter("least <> most")
     open_ = open_.select(F.col("key").alias("of"), F.col("band").alias("of_band"), F.ceil(F.col("there") / F.lit(BLOCK // 2)).cast("int").alias("blocks"))
     who = members.join(open_, (F.col("key") == F.col("of")) & (F.col("band") == F.col("of_band")))
-    who = who.select("key", "band", "name", "blocks", F.pmod(F.xxhash64(F.lit(91), "name"), F.col("blocks")).cast("int").alias("block"))
+    who = who.select("key", "band", "name", "component", "blocks", F.pmod(F.xxhash64(F.lit(91), "name"), F.col("blocks")).cast("int").alias("block"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    sent = who.select("key", "band", "name", "block", other).select(
-        "key", "band", "name", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")
+    sent = who.select("key", "band", "name", "component", "block", other).select(
+        "key", "band", "name", "component", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")
     )
-    sent = sent.join(texts.select(F.col("name").alias("named"), "shingles"), F.col("name") == F.col("named")).select(F.xxhash64("key", "band", "i", "j").alias("pair"), "i", "j", "block", "name", "shingles")
+    sent = sent.join(texts.select(F.col("name").alias("named"), "shingles"), F.col("name") == F.col("named")).select(F.xxhash64("key", "band", "i", "j").alias("pair"), "i", "j", "block", "name", "component", "shingles")
     arrow = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
     def batch_of(held: list[tuple]) -> pa.RecordBatch:
-        names = np.array([x[3] for x in held], np.int64)
+        names, of = (np.array([x[k] for x in held], np.int64) for k in (3, 4))
         i, j, block = (np.array([x[k] for x in held]) for k in range(3))
-        found = _forest(names, [np.frombuffer(x[4], np.uint32) for x in held], np.flatnonzero(block == i), np.flatnonzero(block == j), similarity)
+        found = _forest(names, of, [unpacked(x[5]) for x in held], np.flatnonzero(block == i), np.flatnonzero(block == j), similarity)
         return pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], schema=arrow)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, last = [], None
         for batch in batches:
-            for pair, *row in zip(*(batch.column(k).to_pylist() for k in range(6))):
+            for pair, *row in zip(*(batch.column(k).to_pylist() for k in range(7))):
                 if pair != last and held:
                     yield batch_of(held)
                     held = []
@@ -374,49 +396,63 @@ def _common(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """The most frequent tokens in a share of the texts, sorted, and the rank of each."""
 
     def work(rows: dict[str, list]) -> dict[str, list]:
-        return {"token": np.concatenate([np.frombuffer(x, np.uint32) for x in rows["shingles"]]).astype(np.int64)}
+        return {"token": np.concatenate([unpacked(x) for x in rows["shingles"]]).astype(np.int64)}
 
     some = texts.filter(F.pmod(F.xxhash64(F.lit(93), "k1"), F.lit(COUNTED_IN)) == 0).select("shingles")
     counted = support.map_arrow(some, work, "token long").groupBy("token").agg(F.count(F.lit(1)).alias("times")).filter(F.col("times") >= LEAST_COUNT)
     found = counted.orderBy(F.desc("times"), "token").limit(COMMON).collect()
     found = sorted((r["token"], k) for k, r in enumerate(reversed(found)))
-    return np.array([t for t, _ in found], np.uint32), np.array([k for _, k in found], np.uint64)
+    return np.array([t for t, _ in found], np.uint64), np.array([k for _, k in found], np.uint64)
 
 
 def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """One row a document: doc_id and component_id, for links at a similarity of shingle sets."""
+    low = np.uint64((1 << 8 * KEPT) - 1)
 
     def work(rows: dict[str, list]) -> dict[str, list]:
-        out: dict[str, list] = {n: [] for n in ("doc_id", "k1", "k2", "shingles")}
+        out: dict[str, list] = {n: [] for n in ("doc_id", "k1", "k2", "fp", "shingles")}
         out["doc_id"] = rows["doc_id"]
         for text in rows["text"]:
             words = words_of(text)
-            parts = [np.unique(x.astype(np.uint32)) for x in shingle_hashes(words, shingle)]
+            parts: list[np.ndarray] = []
+
+            def hashes() -> Iterator[np.ndarray]:
+                for x in shingle_hashes(words, shingle):  # noqa: B023
+                    parts.append(np.unique(x & low))  # noqa: B023
+                    yield x
+
+            out["fp"].append(int(np.uint64(majority(hashes())).view(np.int64)))
             same = xxhash.xxh128_intdigest(b" ".join(words))
             out["k1"].append((same >> 64) - (1 << 63))
             out["k2"].append((same & ((1 << 64) - 1)) - (1 << 63))
-            out["shingles"].append(np.unique(np.concatenate(parts)).tobytes() if parts else b"")
+            out["shingles"].append(packed(np.unique(np.concatenate(parts))) if parts else b"")
         return out
 
     given = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    marked = support.written(support.map_arrow(given, work, "doc_id long, k1 long, k2 long, shingles binary"))
+    marked = support.written(support.map_arrow(given, work, "doc_id long, k1 long, k2 long, fp long, shingles binary"))
     # One row for each text, with a number of its own: documents of one id may differ in text.
-    texts = marked.groupBy("k1", "k2").agg(F.min("doc_id").alias("least"), F.first("shingles").alias("shingles"))
+    texts = marked.groupBy("k1", "k2").agg(F.min("doc_id").alias("least"), F.first("fp").alias("fp"), F.first("shingles").alias("shingles"))
     texts = support.written(texts.withColumn("name", F.monotonically_increasing_id()))
+
+    # Through the anchors: one text stands for those of its fingerprint, and every link is confirmed by the sets.
+    stands = support.checkpoint(texts.groupBy("fp").agg(F.min("name").alias("name")))
+    same = texts.select("fp", F.col("name").alias("v")).join(stands.withColumnRenamed("name", "u"), "fp").filter("u <> v").select("u", "v")
+    close = support.checkpoint(links(stands).unionByName(same))
+    near = support.checkpoint(_confirmed(close, texts, similarity))
+    linked = components(near)
+
+    # The exact way for links beyond the anchors' distance.
     common, rank = _common(texts)
 
     def keys(rows: dict[str, list]) -> dict[str, list]:
-        sets = [np.frombuffer(x, np.uint32) for x in rows["shingles"]]
+        sets = [unpacked(x) for x in rows["shingles"]]
         found = [prefix(x, common, rank, similarity) if len(x) else x for x in sets]
         long = [len(x) for x in found]
         return {"key": np.concatenate(found).astype(np.int64), "name": np.repeat(np.array(rows["name"], np.int64), long), "n": np.repeat(np.array([len(x) for x in sets], np.int32), long)}
 
     keyed = support.written(support.map_arrow(texts.select("name", "shingles"), keys, "key long, name long, n int"))
-    pairs = support.checkpoint(_meet(keyed.select("key", "name")).distinct())
-    # Shingle sets are large; only those of texts in some pair are moved.
-    used = pairs.select(F.explode(F.array("u", "v")).alias("of")).distinct()
-    sets = support.written(texts.select("name", "shingles").join(used, F.col("name") == F.col("of"), "left_semi"))
-    near = support.checkpoint(_linked_pairs(pairs, sets, similarity))
+    pairs = support.checkpoint(_meet(keyed.select("key", "name"), linked).distinct())
+    near = support.checkpoint(near.union(_confirmed(pairs, texts, similarity)))
     linked = components(near)
     rest = support.checkpoint(_rest(keyed, texts, linked, similarity))
     if rest.limit(1).count():
@@ -425,7 +461,17 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     placed = support.checkpoint(placed.select("k1", "k2", "least", F.coalesce("component", "name").alias("component")))
     ids = placed.groupBy(F.col("component").alias("of")).agg(F.min("least").alias("component_id"))
     placed = placed.join(ids, F.col("component") == F.col("of")).select(F.col("k1").alias("of1"), F.col("k2").alias("of2"), "component_id")
-    return marked.select("doc_id", "k1", "k2").join(placed, (F.col("k1") == F.col("of1")) & (F.col("k2") == F.col("of2"))).select("doc_id", "component_id")
+    found = marked.select("doc_id", "k1", "k2").join(placed, (F.col("k1") == F.col("of1")) & (F.col("k2") == F.col("of2"))).select("doc_id", "component_id")
+    found = support.checkpoint(found)
+    for table in (marked, texts, keyed):
+        support.drop(table)
+    return found
+
+
+def _confirmed(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (u, v) of similar sets. Shingle sets are large; only those of texts in some pair are moved."""
+    used = pairs.select(F.explode(F.array("u", "v")).alias("of")).distinct()
+    return _linked_pairs(pairs, texts.select("name", "shingles").join(used, F.col("name") == F.col("of"), "left_semi").select("name", "shingles"), similarity)
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import tempfile
 import uuid
+import weakref
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -27,11 +28,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the driver and all executors share: the cluster's ``spark.checkpoint.dir``.
 
-    Only where neither that setting nor a checkpoint folder is set, as in tests on one machine, a temporary one is made.
+    Only where neither that setting nor a checkpoint folder is set and Spark runs on one machine, as in tests, a temporary one is made.
     """
     found = spark.sparkContext._jsc.sc().getCheckpointDir()
     if not found.isDefined():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ebbflow-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="ebbflow-"))
         found = spark.sparkContext._jsc.sc().getCheckpointDir()
     return found.get()
 
@@ -46,7 +50,25 @@ def written(df: DataFrame) -> DataFrame:
     """``df`` as a Parquet table in the shared folder; what reads it takes only the columns that it needs."""
     path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    found = df.sparkSession.read.schema(df.schema).parquet(path)
+    _WRITTEN[id(found)] = (weakref.ref(found, lambda _, key=id(found): _WRITTEN.pop(key, None)), path)
+    return found
+
+
+_WRITTEN: dict[int, tuple] = {}
+
+
+def drop(table: DataFrame) -> None:
+    """Deletes what ``written`` wrote; nothing that is still to be computed may read it."""
+    held = _WRITTEN.pop(id(table), None)
+    if held is not None:
+        delete(table.sparkSession, held[1])
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Deletes a folder in the shared folder."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def power_of_two(x: float) -> int:

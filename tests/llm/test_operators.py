@@ -218,8 +218,9 @@ def shingle_sets(rows):
     return sets
 
 
-def test_similar_documents_find_all_variants_of_a_hub(spark):
-    """Variants are near the original, not each other, and all share most shingles."""
+def test_similar_documents_find_all_variants_of_a_hub(spark, monkeypatch):
+    """Variants are near the original, not each other, and all share most shingles; groups are cut into parts."""
+    monkeypatch.setattr(simhash, "GROUP", 100)
     rng = random.Random(8)
     words = [f"w{k}" for k in range(50)]
     rows = [(0, " ".join(words), "en", "s", 0)]
@@ -511,3 +512,32 @@ def test_components_of_a_long_chain(spark):
 
 def test_power_of_two():
     assert [support.power_of_two(x) for x in (0, 1, 2, 3, 1024, 1025)] == [1, 1, 2, 4, 1024, 2048]
+
+
+@pytest.mark.parametrize("sizes", [(10, 40, 200), (1000,)])
+def test_similar_documents_lose_no_link_by_group_size(spark, sizes):
+    """Pairs of near copies that share one long passage with all others of their group, which are not near; against brute force."""
+    rng, rows = random.Random(sum(sizes)), []
+    for g, n in enumerate(sizes):
+        passage = [f"g{g}p{k}" for k in range(60)]
+        for k in range(n // 2):
+            own = [f"g{g}o{k}w{i}" for i in range(rng.randint(12, 16))]
+            other = list(own)
+            other[-1] = f"x{k}"
+            rows += [(len(rows), " ".join(passage + own), "en", "s", 0), (len(rows) + 1, " ".join(passage + other), "en", "s", 0)]
+    sets = shingle_sets(rows)
+    ids = sorted(sets)
+    numbers = {}
+    matrix = np.zeros((len(ids), len({x for s in sets.values() for x in s})), np.float32)
+    for i in ids:
+        matrix[i, [numbers.setdefault(x, len(numbers)) for x in sets[i]]] = 1
+    both, size = matrix @ matrix.T, matrix.sum(axis=1)
+    near = both >= 0.8 * (size[:, None] + size[None, :] - both) - 1e-6
+    want = classes(ids, [(a, b) for a, b in zip(*(x.tolist() for x in np.nonzero(near))) if b < a])
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == want and len(set(want.values())) > len(rows) // 20
+
+
+def test_packed_sets_round_trip():
+    tokens = np.unique(np.random.default_rng(1).integers(0, 1 << 48, 500).astype(np.uint64))
+    assert np.array_equal(simhash.unpacked(simhash.packed(tokens)), tokens) and simhash.unpacked(b"").size == 0
