@@ -7,7 +7,7 @@ Parquet and read again for the next one. All but the last return the columns of
    unclear (score under ``LEAST_LANGUAGE_SCORE``). The model is fitted on the labelled rows of the stage's input.
 2. toxicity: rejects documents that a model fitted on ``labels`` finds toxic.
 3. near_duplicates: links documents whose sets of 5-word shingles have a similarity of 0.8 or more, found by SimHash
-   fingerprints, and keeps one document of each group, the one with the smallest id; documents without an id are all
+   fingerprints and anchors and, beyond their distance, by a prefix filter, and keeps one document of each group, the one with the smallest id; documents without an id are all
    kept.
 4. mixing: gives each source its target weight; a document is kept as often as the mix takes its words, rounded to
    whole documents.
@@ -76,11 +76,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of ``sf_dir``; each stage's result is written to the shared folder."""
+    """All stages over the documents of ``sf_dir``; each stage's result is written to the shared folder until the next one is there."""
     docs = support.table(spark, sf_dir, "documents")
     folder = f"{support.shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (name, stage) in enumerate(STAGES):
         path = f"{folder}/{k}-{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if k:
+            support.delete(spark, f"{folder}/{k - 1}-{STAGES[k - 1][0]}")
     return docs
