@@ -7,8 +7,10 @@ text's evidence is the sum over its words, scaled to that of at most ``EVIDENCE`
 softmax share of the best language.
 
 The model is fitted on a bounded sample of labelled rows: about ``max_docs`` documents of each language (a hash of the
-id decides), and keeps the ``max_words`` and ``max_grams`` most frequent entries. So it is small enough to broadcast
-whatever the size of the corpus. Prediction reads every whole text; language, source and id play no part in it.
+id decides) for the ``max_languages`` most frequent languages. It keeps the ``max_words`` and ``max_grams`` most frequent entries of
+each language, so a rare one has as many as any other, and only the languages that an entry occurs in. So it is small enough to
+broadcast whatever the size of the corpus. Prediction reads every whole text, words of any length included; language, source and id
+play no part in it.
 
 Defined results: a text that is null or has no letter is ``und`` with score 0; so is every text if no labelled row was
 given; equal rows stay separate rows; an empty table gives no rows; other columns are ignored, whatever their names.
@@ -22,7 +24,7 @@ from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ebbflow.llm import support
@@ -32,19 +34,35 @@ WORD = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
 LONGEST = 4
 EVIDENCE = 20
-#: Words longer than this are cut into such runs for counting n-grams, so that one text of one word stays cheap.
-RUN = 64
-CACHE_WORDS = 400_000
+#: Words that a worker remembers, and the longest that it does; longer ones are scored anew each time.
+CACHE_WORDS, CACHE_LETTERS = 200_000, 64
 
 
 @dataclass
 class Model:
-    """Relative log frequencies; ``words`` and ``grams`` map an entry to its row in ``scores``."""
+    """Log frequencies; ``words`` and ``grams`` map an entry to its row.
+
+    A row holds only the languages that the entry occurs in (``at`` to ``at + 1`` of ``starts``: language and what is
+    added to that language's ``floor``), the rest of its scores being the floors.
+    """
 
     languages: list[str]
     words: dict[str, int] = field(default_factory=dict)
     grams: dict[str, int] = field(default_factory=dict)
-    scores: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))
+    floors: dict[str, np.ndarray] = field(default_factory=dict)
+    starts: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))
+    which: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int16))
+    added: np.ndarray = field(default_factory=lambda: np.zeros(0, np.float32))
+
+    def scores(self, kind: str, rows: np.ndarray, of: np.ndarray, n: int) -> np.ndarray:
+        """For ``n`` words, the sum of the entries ``rows`` (each belonging to word ``of``), relative to the mean over languages."""
+        wide = len(self.languages)
+        begins = self.starts[rows]
+        long = self.starts[rows + 1] - begins
+        at = np.arange(long.sum()) + np.repeat(begins - np.cumsum(long) + long, long)
+        found = np.bincount(np.repeat(of, long) * wide + self.which[at], self.added[at], n * wide).astype(float).reshape(n, wide)
+        found += np.bincount(of, minlength=n)[:, None] * self.floors.get(kind, np.zeros(wide))
+        return found - found.mean(axis=1, keepdims=True)
 
 
 def words_of(text: str | None) -> list[str]:
@@ -54,24 +72,23 @@ def words_of(text: str | None) -> list[str]:
 
 
 def grams_of(word: str):
-    for at in range(0, len(word), RUN):
-        marked = f"^{word[at : at + RUN]}$"
-        for i in range(len(marked)):
-            for n in range(1, LONGEST + 1):
-                if i + n <= len(marked):
-                    yield marked[i : i + n]
+    marked = f"^{word}$"
+    for i in range(len(marked)):
+        for n in range(1, LONGEST + 1):
+            if i + n <= len(marked):
+                yield marked[i : i + n]
 
 
-def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_docs: int = 1500, max_words: int = 40_000, max_grams: int = 40_000) -> Model:
+def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_docs: int = 1500, max_words: int = 20_000, max_grams: int = 20_000, max_languages: int = 256) -> Model:
     """Fits a model on a sample of about ``max_docs`` rows of each language."""
     rows = labelled.select(F.col(id_col).alias("key"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).filter("text is not null and lang is not null")
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages).collect()
     if not sizes:
         return Model([])
+    languages = sorted(r["lang"] for r in sizes)
     grain = 1 << 30
-    chosen: Column = F.lit(False)
-    for lang, n in sizes.items():
-        chosen = chosen | ((F.col("lang") == lang) & (F.pmod(F.xxhash64(F.lit(29), "key"), F.lit(grain)) < min(grain, grain * max_docs // n)))
+    limit = F.create_map(*(F.lit(x) for r in sizes for x in (r["lang"], min(grain, grain * max_docs // r["n"]))))
+    chosen = rows.withColumn("limit", F.try_element_at(limit, F.col("lang"))).filter(F.pmod(F.xxhash64(F.lit(29), "key"), F.lit(grain)) < F.col("limit"))
 
     def count(batch: dict[str, list]) -> dict[str, list]:
         words: dict[str, Counter] = {}
@@ -83,24 +100,29 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
             for word, n in own.items():
                 for gram in grams_of(word):
                     grams[gram] += n
-            tally.update({(lang, "g", g): n for g, n in grams.items()} | {(lang, "w", w): n for w, n in own.items() if len(w) <= RUN})
+            tally.update({(lang, "g", g): n for g, n in grams.items()} | {(lang, "w", w): n for w, n in own.items()})
         return {"lang": [k[0] for k in tally], "kind": [k[1] for k in tally], "entry": [k[2] for k in tally], "n": list(tally.values())}
 
-    counted = support.map_arrow(rows.filter(chosen).select("lang", "text"), count, "lang string, kind string, entry string, n long")
-    languages = sorted(sizes)
-    totals = counted.groupBy("kind", "entry").agg(F.sum("n").alias("n"), *(F.coalesce(F.sum(F.when(F.col("lang") == x, F.col("n"))), F.lit(0)).alias(f"n{k}") for k, x in enumerate(languages)))
-    model, blocks, at = Model(languages), [], 0
-    totals = support.checkpoint(totals)
-    for kind, most, index in (("w", max_words, model.words), ("g", max_grams, model.grams)):
-        top = totals.filter(F.col("kind") == kind).orderBy(F.desc("n"), "entry").limit(most).collect()
-        if not top:
-            continue
-        counts = np.array([[r[f"n{k}"] for k in range(len(languages))] for r in top], float)
-        frequency = np.log((counts + 0.5) / (counts.sum(axis=0) + 0.5 * len(top)))
-        blocks.append(frequency - frequency.mean(axis=1, keepdims=True))
-        index.update((r["entry"], at + i) for i, r in enumerate(top))
-        at += len(top)
-    model.scores = np.concatenate(blocks) if blocks else np.zeros((0, len(languages)))
+    counted = support.map_arrow(chosen.select("lang", "text"), count, "lang string, kind string, entry string, n long")
+    totals = support.checkpoint(counted.groupBy("kind", "entry", "lang").agg(F.sum("n").alias("n")))
+    nth = F.row_number().over(Window.partitionBy("kind", "lang").orderBy(F.desc("n"), "entry"))
+    kept = totals.withColumn("nth", nth).filter(F.col("nth") <= F.when(F.col("kind") == "w", max_words).otherwise(max_grams)).select("kind", "entry").distinct()
+    model, starts, which, added = Model(languages), [0], [], []
+    number = {x: k for k, x in enumerate(languages)}
+    found = totals.join(kept, ["kind", "entry"]).groupBy("kind", "entry").agg(F.sort_array(F.collect_list(F.struct("lang", "n"))).alias("by")).orderBy("kind", "entry").collect()
+    for kind, index in (("w", model.words), ("g", model.grams)):
+        own = [r for r in found if r["kind"] == kind]
+        sums = np.zeros(len(languages))
+        for r in own:
+            for lang, n in r["by"]:
+                sums[number[lang]] += n
+        model.floors[kind] = np.log(0.5 / (sums + 0.5 * max(1, len(own))))
+        for r in own:
+            index[r["entry"]] = len(starts) - 1
+            which.extend(number[lang] for lang, _ in r["by"])
+            added.extend(math.log((n + 0.5) / 0.5) for _, n in r["by"])
+            starts.append(len(which))
+    model.starts, model.which, model.added = np.array(starts), np.array(which, np.int16), np.array(added, np.float32)
     return model
 
 
@@ -112,24 +134,28 @@ class Scorer:
         self.row_of: dict[str, int] = {}
         self.rows = np.zeros((1024, len(model.languages)))
 
-    def word(self, word: str) -> np.ndarray:
+    def words(self, words: list[str]) -> np.ndarray:
+        """A row of scores for each word."""
         m = self.model
-        k = m.words.get(word)
-        if k is not None:
-            return m.scores[k]
-        total = np.zeros(len(m.languages))
-        for at in range(0, len(word), RUN):
-            marked = f"^{word[at : at + RUN]}$"
-            hits = []
+        known, known_of, hits, hits_of = [], [], [], []
+        get = m.grams.get
+        for w, word in enumerate(words):
+            k = m.words.get(word)
+            if k is not None:
+                known.append(k)
+                known_of.append(w)
+                continue
+            marked = f"^{word}$"
+            before = len(hits)
             for i in range(len(marked)):
                 for n in range(min(LONGEST, len(marked) - i), 0, -1):
-                    g = m.grams.get(marked[i : i + n])
+                    g = get(marked[i : i + n])
                     if g is not None:
                         hits.append(g)
                         break
-            if hits:
-                total += m.scores[hits].sum(axis=0) / LONGEST
-        return total
+            hits_of.extend([w] * (len(hits) - before))
+        whole = m.scores("w", np.array(known, np.int64), np.array(known_of, np.int64), len(words))
+        return whole + m.scores("g", np.array(hits, np.int64), np.array(hits_of, np.int64), len(words)) / LONGEST
 
     def text(self, text: str | None) -> tuple[str, float]:
         languages = self.model.languages
@@ -139,23 +165,19 @@ class Scorer:
         if len(self.row_of) > CACHE_WORDS:
             self.row_of.clear()
         evidence = np.zeros(len(languages))
-        places, times = [], []
-        get = self.row_of.get
-        for word, n in tally.items():
-            k = get(word)
-            if k is None:
-                if len(word) > RUN:
-                    evidence += n * self.word(word)
-                    continue
-                k = len(self.row_of)
-                if k == len(self.rows):
-                    self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-                self.rows[k] = self.word(word)
-                self.row_of[word] = k
-            places.append(k)
-            times.append(n)
-        if places:
-            evidence += np.array(times, float) @ self.rows[places]
+        long = [w for w in tally if len(w) > CACHE_LETTERS]
+        for word in long:
+            evidence += tally[word] * self.words([word])[0]
+        short = [w for w in tally if len(w) <= CACHE_LETTERS] if long else list(tally)
+        new = [w for w in short if w not in self.row_of]
+        if new:
+            at = len(self.row_of)
+            if at + len(new) > len(self.rows):
+                self.rows = np.concatenate([self.rows, np.zeros((max(len(self.rows), len(new)), len(languages)))])
+            self.rows[at : at + len(new)] = self.words(new)
+            self.row_of.update(zip(new, range(at, at + len(new))))
+        if short:
+            evidence += np.fromiter(map(tally.__getitem__, short), float, len(short)) @ self.rows[[self.row_of[w] for w in short]]
         words = sum(tally.values())
         evidence *= min(1.0, EVIDENCE / words)
         share = np.exp(evidence - evidence.max())
