@@ -32,9 +32,9 @@ from pyspark.sql import functions as F
 from ebbflow.llm import pretokens, support
 
 #: Pieces and pre-tokens that a worker remembers before it starts anew.
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 250_000
 #: Characters of text that are worked on at once.
-SLICE_CHARS = 2_000_000
+SLICE_CHARS = 1_000_000
 NO_LIMIT = np.int64(1) << 40
 
 

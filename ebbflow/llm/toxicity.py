@@ -5,10 +5,11 @@ pairs and of pairs with one word between them; each counts once however often it
 a coordinate's rate falls with the squared gradients it has seen, and weights whose accumulated gradient stays within
 the L1 term are exactly zero. What is left is a short list of (hash, weight), which is broadcast.
 
-The model is fitted on a bounded sample: about ``max_docs`` labelled documents (a hash of the id decides, the classes
-keep their proportion). Their features are made by the executors; the driver, which trains in a few passes, holds
-those of ``max_docs`` documents and no more. Scoring reads every whole text; labels, language, source and id play no
-part in it.
+The model is fitted on a bounded sample of labelled documents: about half of ``max_docs`` of each class (a hash of the id
+decides), so a rare class is there as far as it has documents; each document weighs as many as it stands for, so scores keep the
+classes' proportion. A document trains with ``max_terms`` of its features at most, those with the least hashes. Features
+are made by the executors; the driver, which trains in a few passes, holds ``max_docs`` times ``max_terms`` numbers and no
+more. Scoring reads every whole text; labels, language, source and id play no part in it.
 
 Defined results: null and empty texts have no features and get the score of the intercept; repeated labels of a
 document count as often as they occur; without any labelled row every score is 0.5; equal rows stay separate rows; an
@@ -32,7 +33,7 @@ BITS = 20
 #: Distances of the pairs: neighbours, and a skip over one word.
 GAPS = (1, 2)
 STEM = 5
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
 THRESHOLD = 0.3
 
 
@@ -73,8 +74,11 @@ class Hasher:
         return ((mixed ^ (mixed >> np.uint64(29))) >> np.uint64(7) & np.uint64((1 << BITS) - 1)).astype(np.int64)
 
 
-def train(features: list[np.ndarray], labels: np.ndarray, alpha: float = 1.0, beta: float = 1.0, l1: float = 8.0, l2: float = 0.1, passes: int = 4, seed: int = 7) -> Model:
-    """FTRL-proximal over documents in a seeded order; the intercept is a coordinate without L1."""
+def train(features: list[np.ndarray], labels: np.ndarray, stands_for: np.ndarray | None = None, alpha: float = 1.0, beta: float = 1.0, l1: float = 8.0, l2: float = 0.1, passes: int = 4, seed: int = 7) -> Model:
+    """FTRL-proximal over documents in a seeded order; the intercept is a coordinate without L1.
+
+    ``stands_for`` weighs documents; weights are scaled to a mean of 1 so that the L1 term keeps its meaning.
+    """
     size = 1 << BITS
     z, n = np.zeros(size + 1), np.zeros(size + 1)
     order = np.random.default_rng(seed)
@@ -89,7 +93,7 @@ def train(features: list[np.ndarray], labels: np.ndarray, alpha: float = 1.0, be
             at = np.append(features[i], size)
             w = weights(at)
             p = 1.0 / (1.0 + np.exp(-np.clip(w.sum(), -30, 30)))
-            g = p - labels[i]
+            g = (p - labels[i]) * (1.0 if stands_for is None else stands_for[i])
             old = n[at]
             z[at] += g - (np.sqrt(old + g * g) - np.sqrt(old)) / alpha * w
             n[at] = old + g * g
@@ -98,23 +102,38 @@ def train(features: list[np.ndarray], labels: np.ndarray, alpha: float = 1.0, be
     return Model(kept, final[kept], float(final[size]))
 
 
-def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_docs: int = 8000) -> Model:
+def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_docs: int = 8000, max_terms: int = 16_384) -> Model:
     """Fits a model on a sample of about ``max_docs`` rows whose label is 0 or 1."""
     rows = labelled.select(F.col(id_col).alias("key"), F.col(text_col).alias("text"), F.col(label_col).cast("int").alias("label")).filter("label in (0, 1)")
-    n = rows.count()
-    if not n:
+    sizes = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if not sizes:
         return Model(np.zeros(0, np.int64), np.zeros(0), 0.0)
     grain = 1 << 30
-    chosen = rows.filter(F.pmod(F.xxhash64(F.lit(31), "key"), F.lit(grain)) < min(grain, grain * max_docs // n))
+    # A class that needs less than its half leaves the rest to the other.
+    room = {k: max(max_docs // 2, max_docs - sizes.get(1 - k, 0)) for k in sizes}
+    limit = {k: min(grain, grain * room[k] // n) for k, n in sizes.items()}
+    least = F.when(F.col("label") == 0, limit.get(0, 0)).otherwise(limit.get(1, 0))
+    chosen = rows.filter(F.pmod(F.xxhash64(F.lit(31), "key"), F.lit(grain)) < least)
 
     def work(batch: dict[str, list]) -> dict[str, list]:
         hasher = support.once("toxicity-hasher", Hasher)
-        return {"key": batch["key"], "label": batch["label"], "features": [np.unique(hasher(t)).astype(np.int32).tobytes() for t in batch["text"]]}
+        found = [np.unique(hasher(t)) for t in batch["text"]]
+        return {"key": batch["key"], "label": batch["label"], "features": [bounded(x, max_terms).astype(np.int32).tobytes() for x in found]}
 
     kind = rows.schema["key"].dataType.simpleString()
     found = support.map_arrow(chosen, work, f"key {kind}, label int, features binary").toArrow()
     rows_in_order = sorted(zip(found["key"].to_pylist(), found["label"].to_pylist(), found["features"].to_pylist()), key=lambda r: (r[0] is not None, r[0] or 0, r[1], r[2]))
-    return train([np.frombuffer(f, np.int32) for _, _, f in rows_in_order], np.array([y for _, y, _ in rows_in_order], float))
+    labels = np.array([y for _, y, _ in rows_in_order], float)
+    weights = np.where(labels == 1, grain / max(1, limit.get(1, 0)), grain / max(1, limit.get(0, 0)))
+    return train([np.frombuffer(f, np.int32) for _, _, f in rows_in_order], labels, weights / weights.mean() if len(weights) else None)
+
+
+def bounded(features: np.ndarray, most: int) -> np.ndarray:
+    """At most ``most`` of distinct feature numbers, by a hash of the number, so that equal features meet across documents."""
+    if len(features) <= most:
+        return features
+    order = features.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)
+    return features[np.sort(np.argpartition(order, most - 1)[:most])]
 
 
 def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text", threshold: float = THRESHOLD, names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
