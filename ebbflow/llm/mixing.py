@@ -21,7 +21,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ebbflow.llm import support
@@ -31,6 +31,13 @@ GOLDEN, POINTS = 2654435769, 1 << 32
 CELLS = 4096
 
 
+def point(n: Column) -> Column:
+    """The golden-ratio point of slot ``n``, n * GOLDEN mod 2**32, in products that a long holds."""
+    n = n % POINTS
+    high, low = F.floor(n / (1 << 16)), n % (1 << 16)
+    return (high * GOLDEN % POINTS * (1 << 16) % POINTS + low * GOLDEN % POINTS) % POINTS
+
+
 def targets(sized: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: int = 3) -> DataFrame:
     """(source, size) to one row a source: sid (rank by code point, null last), source_size, target."""
     by_source = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
@@ -57,7 +64,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         F.col(id_col).alias("doc_id"),
         F.col(source_col).alias("source"),
         F.coalesce(F.regexp_count(F.col(text_col), F.lit(support.WORD_PATTERN)), F.lit(0)).cast("bigint").alias("size"),
-        F.xxhash64(F.lit(seed), F.col(id_col)).alias("h"),
+        # Rows without id, or with one id, are spread by their text.
+        F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)).alias("h"),
     )
     sized = support.checkpoint(sized)
     buckets = support.power_of_two(math.sqrt(sized.count()))
@@ -127,7 +135,7 @@ def _schedule(spark: SparkSession, per_source: DataFrame, total: int, block_word
     share = ("sid", "slots", "source_size", "wanted", "blocks")
     shares = per_source.filter("slots > 0").select(*share, "since", "to")
     cells = shares.select("*", F.explode(F.sequence(F.expr(f"since div {width}"), F.expr(f"(to - 1) div {width}"))).alias("cell"))
-    place = F.floor((F.col("n") % POINTS * GOLDEN % POINTS) / float(POINTS) * total).cast("bigint")
+    place = F.floor(point(F.col("n")) / float(POINTS) * total).cast("bigint")
     points = spark.range(total).withColumnRenamed("id", "n").withColumn("place", place).withColumn("cell", F.expr(f"place div {width}"))
     drawn = points.join(cells, (points["cell"] == cells["cell"]) & (F.col("place") >= F.col("since")) & (F.col("place") < F.col("to"))).select("n", *share)
     drawn = drawn.withColumn("chunk", F.expr(f"n div {support.power_of_two(math.sqrt(total))}"))

@@ -1,6 +1,8 @@
 """Each operator against a brute-force version, an exact round trip or held-out accuracy, and on awkward tables."""
 
 import hashlib
+import itertools
+import math
 import random
 import zlib
 
@@ -99,6 +101,50 @@ def test_mixing_targets_and_blocks(spark):
     assert sorted(map(tuple, got)) == sorted(map(tuple, again))
 
 
+def test_mixing_points_beyond_a_long_product(spark):
+    numbers = [0, 1, 3_474_000_000, 4_294_967_295, 4_294_967_296, 4_300_000_001, 15_000_000_000, 10**15 + 7]
+    got = [r[0] for r in spark.createDataFrame([(n,) for n in numbers], "n bigint").select(mixing.point(F.col("n"))).collect()]
+    assert got == [n * mixing.GOLDEN % mixing.POINTS for n in numbers]
+
+
+def plain_mix(rows, weights=(5, 2, 1), cap=3, block_words=16, h=None):
+    """Words taken from each row, slot by slot along the schedule; ``h`` is the shuffle's key of each row."""
+    names = sorted({s for _, _, s in rows}, key=lambda s: (s is None, s or ""))
+    sizes = {s: sum(n for _, n, of in rows if of == s) for s in names}
+    want = water_fill(sizes, cap)
+    wanted = {s: min(int(want[s] + 0.5), sizes[s] * cap) for s in names}
+    blocks = {s: max(1, -(-sizes[s] // block_words)) for s in names}
+    slots = {s: (wanted[s] // sizes[s]) * blocks[s] + -(-(wanted[s] % sizes[s]) // block_words) if sizes[s] else 0 for s in names}
+    total = sum(slots.values())
+    ends = list(itertools.accumulate(slots[s] for s in names))
+    order, left = [], dict(slots)
+    for n in range(total):
+        place = int(n * mixing.GOLDEN % mixing.POINTS / mixing.POINTS * total)
+        s = names[sum(e <= place for e in ends)]
+        order.append(s)
+    taken = [0] * len(rows)
+    for s in names:
+        line = sorted((i for i, r in enumerate(rows) if r[2] == s), key=lambda i: (h[i] % h["buckets"], h[i], rows[i][0], rows[i][1]))
+        words = [i for i in line for _ in range(rows[i][1])]
+        for r in range(max(order.count(s), left[s]) if slots[s] else 0):
+            if r >= slots[s]:
+                break
+            done = (r // blocks[s]) * sizes[s] + (r % blocks[s]) * block_words
+            for i in words[(r % blocks[s]) * block_words :][: min(block_words, wanted[s] - done)]:
+                taken[i] += 1
+    return taken
+
+
+def test_mixing_takes_what_a_plain_schedule_takes(spark):
+    rows = [(i, t, lang, None if i % 11 == 0 else ("big" if i % 3 else s), n) for i, t, lang, s, n in invented(300, 5)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    keys = {r["doc_id"]: r["h"] for r in docs.select("doc_id", F.xxhash64(F.lit(17), "doc_id", "text").alias("h")).collect()}
+    h = {k: keys[r[0]] for k, r in enumerate(rows)} | {"buckets": support.power_of_two(math.sqrt(len(rows)))}
+    want = plain_mix([(i, len(t.split()), s) for i, t, _, s, _ in rows], h=h)
+    got = {r["doc_id"]: r["taken"] for r in mixing.mix(docs, block_words=16).collect()}
+    assert [got[r[0]] for r in rows] == want
+
+
 def test_mixing_on_awkward_rows(awkward, nothing):
     rows = mixing.mix(awkward).collect()
     assert len(rows) == len(AWKWARD) and all(r["taken"] <= 3 * r["size"] for r in rows) and mixing.mix(nothing).count() == 0
