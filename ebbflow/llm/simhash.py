@@ -22,12 +22,12 @@ the sets. At 0.8, fingerprints differ in up to 17 bits of 64 (measured), which n
 way finds the rest, a prefix filter: if all sets are sorted in one common order, two sets of similarity s share one of the
 first n - ceil(s * n) + 1 shingles of each, n being the set's size. The order puts the ``COMMON`` most frequent shingles
 of a sample of texts last, so passages that many texts share are seldom in a prefix; any order gives the same links.
-Texts that share a prefix shingle are a group; groups of more than ``GROUP`` texts are cut by a hash of the text into parts of about
-that size, so no task holds a hot one. The first round tests, within parts, neighbours and each text with the part's first (parts of up
+Texts that share a prefix shingle are a group; a group that the sample shows to hold more than ``GROUP`` texts is cut by a hash of the
+text into parts of about that size before the shuffle, so no task holds a hot one. The first round tests, within parts, neighbours and each text with the part's first (parts of up
 to ``SMALL`` texts fully). The second round takes all groups of more than ``SMALL`` texts that are not yet one component, and
 tests all their pairs that sizes allow and that are in different components, in pairs of blocks of about ``BLOCK`` texts; a block pair yields a forest of its links.
-So no pair is missed, whatever a group's size. Sets hold 48 bits of each shingle's hash: two texts of a million words
-have a false shingle in common with a probability of 0.004.
+So no pair is missed, whatever a group's size. Sets hold 40 bits of each shingle's hash: two texts of a million words
+have about one false shingle in common.
 
 Defined results: null, empty and wordless texts share fingerprint zero and are linked like any other; rows with a null
 id can't name a component and are named by the smallest other id they reach, else null; equal rows stay separate rows; an
@@ -58,11 +58,11 @@ AT_ONCE = 1 << 16
 #: Groups up to this size are compared fully in the first round; groups beyond ``GROUP`` are cut into parts there.
 SMALL, GROUP = 8, 4096
 #: Bytes that are kept of a shingle's hash.
-KEPT = 6
+KEPT = 5
 #: Rows of a group that are compared with the whole group at once.
 BLOCK = 512
 #: Most shingles that are put last, the share of texts they are counted in (one of so many), and the least count there.
-COMMON, COUNTED_IN, LEAST_COUNT = 1 << 16, 4, 4
+COMMON, COUNTED_IN, LEAST_COUNT = 1 << 16, 16, 2
 #: Shingles of a block pair that are compared at once.
 COLUMNS = 4096
 
@@ -244,48 +244,46 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return marked.join(placed, marked["fp"] == placed["of"]).select("doc_id", "fp", "component_id")
 
 
-def _meet(keyed: DataFrame, linked: DataFrame) -> DataFrame:
-    """(key, name) to the first round's candidate pairs (u, v) that are not in one component yet (``linked``: node, component).
+def _meet(keyed: DataFrame) -> DataFrame:
+    """(key, part, name, n) to rows (u, v, n): the first round's pairs with n 0, and key, name and n of the members of larger groups.
 
-    All pairs of small groups; of larger ones, neighbours by a hash and each member with the first of its part.
+    All pairs of small groups; of larger ones, neighbours by a hash and each member with the first of its part. One pass
+    serves both, so keys, most of which one text alone has, are moved once and never stored.
     """
-    arrow = pa.schema([("u", pa.int64()), ("v", pa.int64())])
+    arrow = pa.schema([("u", pa.int64()), ("v", pa.int64()), ("n", pa.int32())])
 
-    def pairs(key: np.ndarray, name: np.ndarray, of: np.ndarray) -> pa.RecordBatch:
-        begins = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+    def rows(key: np.ndarray, part: np.ndarray, name: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        begins = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (part[1:] != part[:-1])])) if len(key) else np.zeros(0, np.int64)
         sizes = np.diff(np.append(begins, len(key)))
         first, size = np.repeat(begins, sizes), np.repeat(sizes, sizes)
+        place = np.arange(len(key)) - first
         left, right = [], []
         for lag in range(1, SMALL):
-            at = np.flatnonzero((np.arange(len(key)) - first >= lag) & ((size <= SMALL) | (lag == 1)))
+            at = np.flatnonzero((place >= lag) & ((size <= SMALL) | (lag == 1)))
             left.append(at - lag)
             right.append(at)
-        at = np.flatnonzero((np.arange(len(key)) - first >= 2) & (size > SMALL))
-        left, right = np.concatenate([*left, first[at]]), np.concatenate([*right, at])
-        new = of[left] != of[right]
-        u, v = name[left[new]], name[right[new]]
-        found = np.unique(np.stack([np.minimum(u, v), np.maximum(u, v)], axis=1), axis=0)
-        return pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], schema=arrow)
+        at = np.flatnonzero((place >= 2) & (size > SMALL))
+        u, v = name[np.concatenate([*left, first[at]])], name[np.concatenate([*right, at])]
+        found = np.unique(np.stack([np.minimum(u, v), np.maximum(u, v)], axis=1)[u != v], axis=0)
+        # A part of a cut group (part > 0) may be small; the group is not.
+        member = np.flatnonzero((size > SMALL) | (part > 0))
+        return pa.RecordBatch.from_arrays(
+            [pa.array(np.concatenate([found[:, 0], key[member]])), pa.array(np.concatenate([found[:, 1], name[member]])), pa.array(np.concatenate([np.zeros(len(found), np.int32), n[member]]))], schema=arrow
+        )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.zeros(0, np.int64)] * 3
+        held = [np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int32)]
         for batch in batches:
             held = [np.concatenate([a, c.to_numpy(zero_copy_only=False)]) for a, c in zip(held, batch.columns)]
-            if len(held[0]) and (cut := int(np.searchsorted(held[0], held[0][-1]))):
-                yield pairs(*(x[:cut] for x in held))
+            same = (held[0] == held[0][-1]) & (held[1] == held[1][-1]) if len(held[0]) else np.zeros(0, bool)
+            if len(same) and (cut := int(np.argmax(same))):
+                yield rows(*(x[:cut] for x in held))
                 held = [x[cut:] for x in held]
-        yield pairs(*held)
-
-    # Parts of large groups: their number is counted before the shuffle, and joined to keys, where hot ones are split by hash.
-    salt = F.pmod(F.xxhash64(F.lit(97), "name"), F.lit(64))
-    counted = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("there")).filter(F.col("there") > GROUP)
-    counted = counted.select(F.col("key").alias("of"), F.ceil(F.col("there") / GROUP).cast("int").alias("parts"), F.explode(F.sequence(F.lit(0), F.lit(63)).cast("array<bigint>")).alias("of_salt"))
-    spread = keyed.withColumn("salt", salt).join(counted, (F.col("key") == F.col("of")) & (F.col("salt") == F.col("of_salt")), "left")
-    part = F.when(F.col("parts").isNull(), F.col("key")).otherwise(F.xxhash64("key", F.pmod(F.xxhash64(F.lit(95), "name"), F.col("parts"))))
-    spread = spread.select(part.alias("key"), "name").join(linked.withColumnRenamed("node", "named"), F.col("name") == F.col("named"), "left")
-    rows = spread.select("key", "name", F.coalesce("component", "name").alias("component"))
+        yield rows(*held)
+
     parts = int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(parts, "key").sortWithinPartitions("key", F.xxhash64("key", "name")).mapInArrow(run, "u long, v long")
+    dealt = keyed.repartition(parts, "key", "part").sortWithinPartitions("key", "part", F.xxhash64("key", "name"))
+    return dealt.mapInArrow(run, "u long, v long, n int")
 
 
 def _linked_pairs(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -349,16 +347,17 @@ def _forest(names: np.ndarray, of: np.ndarray, sets: list[np.ndarray], left: np.
     return found
 
 
-def _rest(keyed: DataFrame, texts: DataFrame, component: DataFrame, similarity: float) -> DataFrame:
-    """Links (u, v) of large groups between texts that are not yet in one component, all pairs tested."""
-    workers.reach(keyed.sparkSession)
-    large = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("members")).filter(F.col("members") > SMALL).select(F.col("key").alias("of"))
+def _rest(members: DataFrame, texts: DataFrame, component: DataFrame, similarity: float) -> DataFrame:
+    """Links (u, v) of large groups (``members``: key, name, n) between texts that are not yet in one component, all pairs tested."""
+    workers.reach(members.sparkSession)
+    spark = members.sparkSession
     labels = component.select(F.col("node").alias("named"), "component")
-    members = keyed.join(large, F.col("key") == F.col("of"), "left_semi").join(labels, F.col("name") == F.col("named"), "left")
+    members = support.checkpoint(members.join(labels, F.col("name") == F.col("named"), "left").select("key", "name", "n", F.coalesce("component", "name").alias("component")))
+    torn = members.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most")).filter("least <> most").select(F.col("key").alias("of"))
+    members = members.join(torn, F.col("key") == F.col("of"), "left_semi")
     # Sizes of similar sets differ by one class at most; a band holds a class and the one above it.
     level = F.floor(F.log(F.col("n").cast("double")) / F.lit(math.log(1.0000001 / similarity)))
-    members = members.select("key", "name", F.coalesce("component", "name").alias("component"), F.explode(F.array(level, level - 1)).alias("band"))
-    members = support.checkpoint(members)
+    members = support.checkpoint(members.select("key", "name", "component", F.explode(F.array(level, level - 1)).alias("band")))
     open_ = members.groupBy("key", "band").agg(F.count(F.lit(1)).alias("there"), F.min("component").alias("least"), F.max("component").alias("most")).filter("least <> most")
     open_ = open_.select(F.col("key").alias("of"), F.col("band").alias("of_band"), F.ceil(F.col("there") / F.lit(BLOCK // 2)).cast("int").alias("blocks"))
     who = members.join(open_, (F.col("key") == F.col("of")) & (F.col("band") == F.col("of_band")))
@@ -388,12 +387,12 @@ def _rest(keyed: DataFrame, texts: DataFrame, component: DataFrame, similarity:
         if held:
             yield batch_of(held)
 
-    parts = int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     return sent.repartition(parts, "pair").sortWithinPartitions("pair").mapInArrow(run, "u long, v long")
 
 
-def _common(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """The most frequent tokens in a share of the texts, sorted, and the rank of each."""
+def _common(texts: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The most frequent tokens in a share of the texts, sorted; the rank of each and about how many texts hold it."""
 
     def work(rows: dict[str, list]) -> dict[str, list]:
         return {"token": np.concatenate([unpacked(x) for x in rows["shingles"]]).astype(np.int64)}
@@ -401,19 +400,31 @@ def _common(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     some = texts.filter(F.pmod(F.xxhash64(F.lit(93), "k1"), F.lit(COUNTED_IN)) == 0).select("shingles")
     counted = support.map_arrow(some, work, "token long").groupBy("token").agg(F.count(F.lit(1)).alias("times")).filter(F.col("times") >= LEAST_COUNT)
     found = counted.orderBy(F.desc("times"), "token").limit(COMMON).collect()
-    found = sorted((r["token"], k) for k, r in enumerate(reversed(found)))
-    return np.array([t for t, _ in found], np.uint64), np.array([k for _, k in found], np.uint64)
+    found = sorted((r["token"], k, r["times"] * COUNTED_IN) for k, r in enumerate(reversed(found)))
+    return np.array([t for t, _, _ in found], np.uint64), np.array([k for _, k, _ in found], np.uint64), np.array([n for _, _, n in found], np.int64)
 
 
 def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """One row a document: doc_id and component_id, for links at a similarity of shingle sets."""
     low = np.uint64((1 << 8 * KEPT) - 1)
 
+    def name_of(words: list[bytes]) -> tuple[int, int]:
+        same = xxhash.xxh128_intdigest(b" ".join(words))
+        return (same >> 64) - (1 << 63), (same & ((1 << 64) - 1)) - (1 << 63)
+
+    def name_texts(rows: dict[str, list]) -> dict[str, list]:
+        named = [name_of(words_of(t)) for t in rows["text"]]
+        return {"doc_id": rows["doc_id"], "k1": [a for a, _ in named], "k2": [b for _, b in named]}
+
     def work(rows: dict[str, list]) -> dict[str, list]:
         out: dict[str, list] = {n: [] for n in ("doc_id", "k1", "k2", "fp", "shingles")}
-        out["doc_id"] = rows["doc_id"]
-        for text in rows["text"]:
+        seen = set()
+        for key, text in zip(rows["doc_id"], rows["text"]):
             words = words_of(text)
+            named = (*name_of(words), key)
+            if named in seen:
+                continue
+            seen.add(named)
             parts: list[np.ndarray] = []
 
             def hashes() -> Iterator[np.ndarray]:
@@ -421,17 +432,16 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
                     parts.append(np.unique(x & low))  # noqa: B023
                     yield x
 
-            out["fp"].append(int(np.uint64(majority(hashes())).view(np.int64)))
-            same = xxhash.xxh128_intdigest(b" ".join(words))
-            out["k1"].append((same >> 64) - (1 << 63))
-            out["k2"].append((same & ((1 << 64) - 1)) - (1 << 63))
-            out["shingles"].append(packed(np.unique(np.concatenate(parts))) if parts else b"")
+            fp = int(np.uint64(majority(hashes())).view(np.int64))
+            for n, value in zip(out, (key, *named[:2], fp, packed(np.unique(np.concatenate(parts))) if parts else b"")):
+                out[n].append(value)
         return out
 
     given = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    marked = support.written(support.map_arrow(given, work, "doc_id long, k1 long, k2 long, fp long, shingles binary"))
-    # One row for each text, with a number of its own: documents of one id may differ in text.
-    texts = marked.groupBy("k1", "k2").agg(F.min("doc_id").alias("least"), F.first("fp").alias("fp"), F.first("shingles").alias("shingles"))
+    marked = support.written(support.map_arrow(given, name_texts, "doc_id long, k1 long, k2 long"))
+    # One row for each text, with a number of its own: documents of one id may differ in text. Sets are moved once.
+    sets = support.map_arrow(given, work, "doc_id long, k1 long, k2 long, fp long, shingles binary")
+    texts = sets.groupBy("k1", "k2").agg(F.min("doc_id").alias("least"), F.first("fp").alias("fp"), F.first("shingles").alias("shingles"))
     texts = support.written(texts.withColumn("name", F.monotonically_increasing_id()))
 
     # Through the anchors: one text stands for those of its fingerprint, and every link is confirmed by the sets.
@@ -442,19 +452,31 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     linked = components(near)
 
     # The exact way for links beyond the anchors' distance.
-    common, rank = _common(texts)
+    common, rank, held_by = _common(texts)
 
     def keys(rows: dict[str, list]) -> dict[str, list]:
-        sets = [unpacked(x) for x in rows["shingles"]]
-        found = [prefix(x, common, rank, similarity) if len(x) else x for x in sets]
-        long = [len(x) for x in found]
-        return {"key": np.concatenate(found).astype(np.int64), "name": np.repeat(np.array(rows["name"], np.int64), long), "n": np.repeat(np.array([len(x) for x in sets], np.int32), long)}
-
-    keyed = support.written(support.map_arrow(texts.select("name", "shingles"), keys, "key long, name long, n int"))
-    pairs = support.checkpoint(_meet(keyed.select("key", "name"), linked).distinct())
+        out: dict[str, list] = {n: [] for n in ("key", "part", "name", "n")}
+        for name, data in zip(rows["name"], rows["shingles"]):
+            tokens = unpacked(data)
+            found = prefix(tokens, common, rank, similarity) if len(tokens) else tokens
+            part = np.zeros(len(found), np.int32)
+            if len(common):
+                at = np.minimum(np.searchsorted(common, found), len(common) - 1)
+                hot = (common[at] == found) & (held_by[at] > GROUP)
+                part[hot] = 1 + xxhash.xxh32_intdigest(name.to_bytes(8, "little")) % -(-held_by[at[hot]] // GROUP)
+            for n, values in zip(out, (found.astype(np.int64), part, np.full(len(found), name), np.full(len(found), len(tokens), np.int32))):
+                out[n].append(values)
+        return {n: np.concatenate(values) for n, values in out.items()}
+
+    keyed = support.map_arrow(texts.select("name", "shingles"), keys, "key long, part int, name long, n int")
+    met = support.written(_meet(keyed))
+    pairs = met.filter("n = 0").select("u", "v").distinct()
+    for end in ("u", "v"):
+        pairs = pairs.join(linked.select(F.col("node").alias(end), F.col("component").alias(f"of_{end}")), end, "left")
+    pairs = support.checkpoint(pairs.filter("of_u is null or of_v is null or of_u <> of_v").select("u", "v"))
     near = support.checkpoint(near.union(_confirmed(pairs, texts, similarity)))
     linked = components(near)
-    rest = support.checkpoint(_rest(keyed, texts, linked, similarity))
+    rest = support.checkpoint(_rest(met.filter("n > 0").select(F.col("u").alias("key"), F.col("v").alias("name"), "n"), texts, linked, similarity))
     if rest.limit(1).count():
         linked = components(near.union(rest))
     placed = texts.select("k1", "k2", "name", "least").join(linked.withColumnRenamed("node", "named"), F.col("name") == F.col("named"), "left")
@@ -463,7 +485,7 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     placed = placed.join(ids, F.col("component") == F.col("of")).select(F.col("k1").alias("of1"), F.col("k2").alias("of2"), "component_id")
     found = marked.select("doc_id", "k1", "k2").join(placed, (F.col("k1") == F.col("of1")) & (F.col("k2") == F.col("of2"))).select("doc_id", "component_id")
     found = support.checkpoint(found)
-    for table in (marked, texts, keyed):
+    for table in (marked, texts, met):
         support.drop(table)
     return found
 
