@@ -110,6 +110,23 @@ def unpacked(data: bytes) -> np.ndarray:
     return whole.view("<u8").reshape(-1)
 
 
+def bitmap(tokens: np.ndarray) -> bytes:
+    """A bit for each token in at least four times as many places, a power of two."""
+    bits = np.zeros(max(64, support.power_of_two(4 * len(tokens))), np.uint8)
+    bits[(tokens & np.uint64(len(bits) - 1)).astype(np.int64)] = 1
+    return np.packbits(bits, bitorder="little").tobytes()
+
+
+def most_common(n_a: int, bits_a: bytes, n_b: int, bits_b: bytes) -> int:
+    """The most tokens that two sets can share, by sizes and bitmaps: their common bits, and what may share a bit."""
+    a, b = np.frombuffer(bits_a, np.uint64), np.frombuffer(bits_b, np.uint64)
+    while len(a) != len(b):
+        # The larger one is folded to the smaller one's places.
+        a, b = (a[: len(a) // 2] | a[len(a) // 2 :], b) if len(a) > len(b) else (a, b[: len(b) // 2] | b[len(b) // 2 :])
+    count = lambda x: int(np.bitwise_count(x).sum())
+    return min(n_a, n_b, count(a & b) + min(n_a - count(a), n_b - count(b)))
+
+
 def prefix(tokens: np.ndarray, common: np.ndarray, rank: np.ndarray, similarity: float) -> np.ndarray:
     """The tokens of a set that any set of that similarity shares one of; ``common`` (sorted) come last, by ``rank``."""
     n = len(tokens)
@@ -244,9 +261,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return marked.join(placed, marked["fp"] == placed["of"]).select("doc_id", "fp", "component_id")
 
 
-def _meet(keyed: DataFrame) -> DataFrame:
+def _meet(keyed: DataFrame, similarity: float) -> DataFrame:
     """(key, part, name, n) to rows (u, v, n): the first round's pairs with n 0, and key, name and n of the members of larger groups.
 
+    Pairs whose sizes rule out the similarity are left out.
+
     All pairs of small groups; of larger ones, neighbours by a hash and each member with the first of its part. One pass
     serves both, so keys, most of which one text alone has, are moved once and never stored.
     """
@@ -263,7 +282,9 @@ def _meet(keyed: DataFrame) -> DataFrame:
             left.append(at - lag)
             right.append(at)
         at = np.flatnonzero((place >= 2) & (size > SMALL))
-        u, v = name[np.concatenate([*left, first[at]])], name[np.concatenate([*right, at])]
+        left, right = np.concatenate([*left, first[at]]), np.concatenate([*right, at])
+        fits = np.minimum(n[left], n[right]) >= similarity * np.maximum(n[left], n[right]) - 1e-6
+        u, v = name[left[fits]], name[right[fits]]
         found = np.unique(np.stack([np.minimum(u, v), np.maximum(u, v)], axis=1)[u != v], axis=0)
         # A part of a cut group (part > 0) may be small; the group is not.
         member = np.flatnonzero((size > SMALL) | (part > 0))
@@ -406,6 +427,7 @@ def _common(texts: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """One row a document: doc_id and component_id, for links at a similarity of shingle sets."""
+    spark = docs.sparkSession
     low = np.uint64((1 << 8 * KEPT) - 1)
 
     def name_of(words: list[bytes]) -> tuple[int, int]:
@@ -443,6 +465,8 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     sets = support.map_arrow(given, work, "doc_id long, k1 long, k2 long, fp long, shingles binary")
     texts = sets.groupBy("k1", "k2").agg(F.min("doc_id").alias("least"), F.first("fp").alias("fp"), F.first("shingles").alias("shingles"))
     texts = support.written(texts.withColumn("name", F.monotonically_increasing_id()))
+    del sets
+    support.release(spark)
 
     # Through the anchors: one text stands for those of its fingerprint, and every link is confirmed by the sets.
     stands = support.checkpoint(texts.groupBy("fp").agg(F.min("name").alias("name")))
@@ -469,11 +493,10 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         return {n: np.concatenate(values) for n, values in out.items()}
 
     keyed = support.map_arrow(texts.select("name", "shingles"), keys, "key long, part int, name long, n int")
-    met = support.written(_meet(keyed))
-    pairs = met.filter("n = 0").select("u", "v").distinct()
-    for end in ("u", "v"):
-        pairs = pairs.join(linked.select(F.col("node").alias(end), F.col("component").alias(f"of_{end}")), end, "left")
-    pairs = support.checkpoint(pairs.filter("of_u is null or of_v is null or of_u <> of_v").select("u", "v"))
+    met = support.written(_meet(keyed, similarity))
+    pairs = support.checkpoint(_apart(met.filter("n = 0").select("u", "v").distinct(), linked))
+    del keyed
+    support.release(spark)
     near = support.checkpoint(near.union(_confirmed(pairs, texts, similarity)))
     linked = components(near)
     rest = support.checkpoint(_rest(met.filter("n > 0").select(F.col("u").alias("key"), F.col("v").alias("name"), "n"), texts, linked, similarity))
@@ -491,9 +514,44 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (u, v) of similar sets. Shingle sets are large; only those of texts in some pair are moved."""
-    used = pairs.select(F.explode(F.array("u", "v")).alias("of")).distinct()
-    return _linked_pairs(pairs, texts.select("name", "shingles").join(used, F.col("name") == F.col("of"), "left_semi").select("name", "shingles"), similarity)
+    """Links among the pairs (u, v) that connect what all similar pairs connect.
+
+    Shingle sets are large, so few of them are moved: bitmaps, a tenth of the size, rule out most pairs that are not
+    similar. Then each text is confirmed with one partner, and further pairs only where that leaves them in different components.
+    """
+
+    def marks(rows: dict[str, list]) -> dict[str, list]:
+        sets = [unpacked(x) for x in rows["shingles"]]
+        return {"name": rows["name"], "n": [len(x) for x in sets], "bits": [bitmap(x) for x in sets]}
+
+    def possible(rows: dict[str, list]) -> dict[str, list]:
+        out: dict[str, list] = {"u": [], "v": []}
+        for u, v, n, bits, m, other in zip(*(rows[c] for c in ("u", "v", "n", "bits", "m", "other"))):
+            both = most_common(n, bits, m, other)
+            if both >= similarity * (n + m - both):
+                out["u"].append(u)
+                out["v"].append(v)
+        return out
+
+    def among(chosen: DataFrame, rows: DataFrame) -> DataFrame:
+        used = chosen.select(F.explode(F.array("u", "v")).alias("of")).distinct()
+        return rows.join(used, F.col("name") == F.col("of"), "left_semi").drop("of")
+
+    marked = support.map_arrow(among(pairs, texts.select("name", "shingles")), marks, "name long, n int, bits binary")
+    both = pairs.join(marked.withColumnRenamed("name", "u"), "u").join(marked.select(F.col("name").alias("v"), F.col("n").alias("m"), F.col("bits").alias("other")), "v")
+    left = support.checkpoint(support.map_arrow(both.select("u", "v", "n", "bits", "m", "other"), possible, "u long, v long"))
+    sets = texts.select("name", "shingles")
+    first = left.groupBy("v").agg(F.min("u").alias("u")).select("u", "v")
+    near = support.checkpoint(_linked_pairs(first, among(first, sets), similarity))
+    rest = support.checkpoint(_apart(left.join(first, ["u", "v"], "left_anti"), components(near)))
+    return near.union(_linked_pairs(rest, among(rest, sets), similarity))
+
+
+def _apart(pairs: DataFrame, linked: DataFrame) -> DataFrame:
+    """The pairs (u, v) that ``linked`` (node, component) leaves in different components."""
+    for end in ("u", "v"):
+        pairs = pairs.join(linked.select(F.col("node").alias(end), F.col("component").alias(f"of_{end}")), end, "left")
+    return pairs.filter("of_u is null or of_v is null or of_u <> of_v").select("u", "v")
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import math
 import tempfile
 import uuid
@@ -65,6 +66,15 @@ def drop(table: DataFrame) -> None:
         delete(table.sparkSession, held[1])
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of steps whose results were written and that nothing refers to any more.
+
+    Spark does so when the driver's JVM collects the references, which a large heap may put off for half an hour.
+    """
+    gc.collect()
+    spark._jvm.java.lang.System.gc()
+
+
 def delete(spark: SparkSession, path: str) -> None:
     """Deletes a folder in the shared folder."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -587,3 +587,14 @@ def test_similar_documents_lose_no_link_by_group_size(spark, sizes):
 def test_packed_sets_round_trip():
     tokens = np.unique(np.random.default_rng(1).integers(0, 1 << 40, 500).astype(np.uint64))
     assert np.array_equal(simhash.unpacked(simhash.packed(tokens)), tokens) and simhash.unpacked(b"").size == 0
+
+
+def test_bitmaps_never_rule_out_a_similar_pair():
+    rng = np.random.default_rng(5)
+    for n in (1, 7, 60, 63, 65, 1000, 5000):
+        a = np.unique(rng.integers(0, 1 << 40, n).astype(np.uint64))
+        for keep in (0.1, 0.5, 0.82, 1.0):
+            b = np.unique(np.concatenate([a[: max(1, int(keep * n))], rng.integers(0, 1 << 40, n // 9).astype(np.uint64)]))
+            both = len(np.intersect1d(a, b))
+            bound = simhash.most_common(len(a), simhash.bitmap(a), len(b), simhash.bitmap(b))
+            assert both <= bound <= min(len(a), len(b)) and (keep != 0.5 or n < 1000 or bound < 0.8 * len(a))
