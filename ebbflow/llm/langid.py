@@ -24,6 +24,7 @@ from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -109,19 +110,22 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     kept = totals.withColumn("nth", nth).filter(F.col("nth") <= F.when(F.col("kind") == "w", max_words).otherwise(max_grams)).select("kind", "entry").distinct()
     model, starts, which, added = Model(languages), [0], [], []
     number = {x: k for k, x in enumerate(languages)}
-    found = totals.join(kept, ["kind", "entry"]).groupBy("kind", "entry").agg(F.sort_array(F.collect_list(F.struct("lang", "n"))).alias("by")).orderBy("kind", "entry").collect()
+    found = totals.join(kept, ["kind", "entry"]).select("kind", "entry", "lang", "n").orderBy("kind", "entry", "lang").toArrow()
     for kind, index in (("w", model.words), ("g", model.grams)):
-        own = [r for r in found if r["kind"] == kind]
-        sums = np.zeros(len(languages))
-        for r in own:
-            for lang, n in r["by"]:
-                sums[number[lang]] += n
-        model.floors[kind] = np.log(0.5 / (sums + 0.5 * max(1, len(own))))
-        for r in own:
-            index[r["entry"]] = len(starts) - 1
-            which.extend(number[lang] for lang, _ in r["by"])
-            added.extend(math.log((n + 0.5) / 0.5) for _, n in r["by"])
-            starts.append(len(which))
+        own = found.filter(pc.equal(found["kind"], kind))
+        times = own["n"].to_numpy()
+        at = np.array([number[x] for x in own["lang"].to_pylist()], np.int64)
+        sums = np.bincount(at, times, len(languages)).astype(float)
+        before = None
+        for entry, lang, n in zip(own["entry"].to_pylist(), at.tolist(), times.tolist()):
+            if entry != before:
+                starts.append(len(which))
+                index[entry] = len(starts) - 2
+                before = entry
+            which.append(lang)
+            added.append(math.log((n + 0.5) / 0.5))
+            starts[-1] = len(which)
+        model.floors[kind] = np.log(0.5 / (sums + 0.5 * max(1, len(index))))
     model.starts, model.which, model.added = np.array(starts), np.array(which, np.int16), np.array(added, np.float32)
     return model
 
