@@ -472,8 +472,8 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     stands = support.checkpoint(texts.groupBy("fp").agg(F.min("name").alias("name")))
     same = texts.select("fp", F.col("name").alias("v")).join(stands.withColumnRenamed("name", "u"), "fp").filter("u <> v").select("u", "v")
     close = support.checkpoint(links(stands).unionByName(same))
-    near = support.checkpoint(_confirmed(close, texts, similarity))
-    linked = components(near)
+    used = close.select(F.explode(F.array("u", "v")).alias("of")).distinct()
+    near = support.checkpoint(_linked_pairs(close, texts.select("name", "shingles").join(used, F.col("name") == F.col("of"), "left_semi").drop("of"), similarity))
 
     # The exact way for links beyond the anchors' distance.
     common, rank, held_by = _common(texts)
@@ -494,10 +494,11 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     keyed = support.map_arrow(texts.select("name", "shingles"), keys, "key long, part int, name long, n int")
     met = support.written(_meet(keyed, similarity))
-    pairs = support.checkpoint(_apart(met.filter("n = 0").select("u", "v").distinct(), linked))
+    pairs = support.checkpoint(met.filter("n = 0").select("u", "v").distinct())
     del keyed
     support.release(spark)
-    near = support.checkpoint(near.union(_confirmed(pairs, texts, similarity)))
+    near = support.checkpoint(_confirmed(pairs, texts, similarity, near))
+    support.release(spark)
     linked = components(near)
     rest = support.checkpoint(_rest(met.filter("n > 0").select(F.col("u").alias("key"), F.col("v").alias("name"), "n"), texts, linked, similarity))
     if rest.limit(1).count():
@@ -513,8 +514,8 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     return found
 
 
-def _confirmed(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """Links among the pairs (u, v) that connect what all similar pairs connect.
+def _confirmed(pairs: DataFrame, texts: DataFrame, similarity: float, known: DataFrame) -> DataFrame:
+    """Links among the pairs (u, v) that with those ``known`` connect what all similar pairs connect.
 
     Shingle sets are large, so few of them are moved: bitmaps, a tenth of the size, rule out most pairs that are not
     similar. Then each text is confirmed with one partner, and further pairs only where that leaves them in different components.
@@ -542,7 +543,7 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFra
     left = support.checkpoint(support.map_arrow(both.select("u", "v", "n", "bits", "m", "other"), possible, "u long, v long"))
     sets = texts.select("name", "shingles")
     first = left.groupBy("v").agg(F.min("u").alias("u")).select("u", "v")
-    near = support.checkpoint(_linked_pairs(first, among(first, sets), similarity))
+    near = support.checkpoint(known.union(_linked_pairs(first, among(first, sets), similarity)))
     rest = support.checkpoint(_apart(left.join(first, ["u", "v"], "left_anti"), components(near)))
     return near.union(_linked_pairs(rest, among(rest, sets), similarity))
 

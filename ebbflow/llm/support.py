@@ -67,11 +67,12 @@ def drop(table: DataFrame) -> None:
 
 
 def release(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of steps whose results were written and that nothing refers to any more.
+    """Lets go of memory, and lets Spark delete the shuffle files of steps whose results were written and that nothing refers to any more.
 
     Spark does so when the driver's JVM collects the references, which a large heap may put off for half an hour.
     """
     gc.collect()
+    pa.default_memory_pool().release_unused()
     spark._jvm.java.lang.System.gc()
 
 

@@ -124,6 +124,7 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lab
     found = support.map_arrow(chosen, work, f"key {kind}, label int, features binary").toArrow()
     rows_in_order = sorted(zip(found["key"].to_pylist(), found["label"].to_pylist(), found["features"].to_pylist()), key=lambda r: (r[0] is not None, r[0] or 0, r[1], r[2]))
     labels = np.array([y for _, y, _ in rows_in_order], float)
+    del found
     weights = np.where(labels == 1, grain / max(1, limit.get(1, 0)), grain / max(1, limit.get(0, 0)))
     return train([np.frombuffer(f, np.int32) for _, _, f in rows_in_order], labels, weights / weights.mean() if len(weights) else None)
 
