@@ -102,31 +102,37 @@ def train(features: list[np.ndarray], labels: np.ndarray, stands_for: np.ndarray
     return Model(kept, final[kept], float(final[size]))
 
 
-def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_docs: int = 8000, max_terms: int = 16_384) -> Model:
-    """Fits a model on a sample of about ``max_docs`` rows whose label is 0 or 1."""
-    rows = labelled.select(F.col(id_col).alias("key"), F.col(text_col).alias("text"), F.col(label_col).cast("int").alias("label")).filter("label in (0, 1)")
-    sizes = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if not sizes:
-        return Model(np.zeros(0, np.int64), np.zeros(0), 0.0)
+def sampled(labelled: DataFrame, id_col: str, label_col: str, max_docs: int) -> DataFrame:
+    """About ``max_docs`` of the rows whose label is 0 or 1, half of them of each class; adds ``stands_for``, the rows that each stands for."""
+    rows = labelled.withColumn(label_col, F.col(label_col).cast("int")).filter(F.col(label_col).isin(0, 1))
+    sizes = {r[label_col]: r["n"] for r in rows.groupBy(label_col).agg(F.count(F.lit(1)).alias("n")).collect()}
     grain = 1 << 30
     # A class that needs less than its half leaves the rest to the other.
     room = {k: max(max_docs // 2, max_docs - sizes.get(1 - k, 0)) for k in sizes}
     limit = {k: min(grain, grain * room[k] // n) for k, n in sizes.items()}
-    least = F.when(F.col("label") == 0, limit.get(0, 0)).otherwise(limit.get(1, 0))
-    chosen = rows.filter(F.pmod(F.xxhash64(F.lit(31), "key"), F.lit(grain)) < least)
+    least = F.when(F.col(label_col) == 0, limit.get(0, 0)).otherwise(limit.get(1, 0))
+    return rows.filter(F.pmod(F.xxhash64(F.lit(31), F.col(id_col)), F.lit(grain)) < least).withColumn("stands_for", F.lit(float(grain)) / F.greatest(least, F.lit(1)))
+
+
+def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_docs: int = 8000, max_terms: int = 16_384) -> Model:
+    """Fits a model on a sample of about ``max_docs`` rows whose label is 0 or 1 (rows of ``with_labels`` are one already)."""
+    if "stands_for" not in labelled.columns:
+        labelled = sampled(labelled, id_col, label_col, max_docs)
+    chosen = labelled.select(F.col(id_col).alias("key"), F.col(text_col).alias("text"), F.col(label_col).alias("label"), "stands_for")
 
     def work(batch: dict[str, list]) -> dict[str, list]:
         hasher = support.once("toxicity-hasher", Hasher)
         found = [np.unique(hasher(t)) for t in batch["text"]]
-        return {"key": batch["key"], "label": batch["label"], "features": [bounded(x, max_terms).astype(np.int32).tobytes() for x in found]}
+        return {"key": batch["key"], "label": batch["label"], "stands_for": batch["stands_for"], "features": [bounded(x, max_terms).astype(np.int32).tobytes() for x in found]}
 
-    kind = rows.schema["key"].dataType.simpleString()
-    found = support.map_arrow(chosen, work, f"key {kind}, label int, features binary").toArrow()
-    rows_in_order = sorted(zip(found["key"].to_pylist(), found["label"].to_pylist(), found["features"].to_pylist()), key=lambda r: (r[0] is not None, r[0] or 0, r[1], r[2]))
-    labels = np.array([y for _, y, _ in rows_in_order], float)
+    kind = chosen.schema["key"].dataType.simpleString()
+    found = support.map_arrow(chosen, work, f"key {kind}, label int, stands_for double, features binary").toArrow()
+    if not found.num_rows:
+        return Model(np.zeros(0, np.int64), np.zeros(0), 0.0)
+    rows_in_order = sorted(zip(*(found[c].to_pylist() for c in ("key", "label", "features", "stands_for"))), key=lambda r: (r[0] is not None, r[0] or 0, r[1], r[2]))
     del found
-    weights = np.where(labels == 1, grain / max(1, limit.get(1, 0)), grain / max(1, limit.get(0, 0)))
-    return train([np.frombuffer(f, np.int32) for _, _, f in rows_in_order], labels, weights / weights.mean() if len(weights) else None)
+    weights = np.array([w for *_, w in rows_in_order])
+    return train([np.frombuffer(f, np.int32) for _, _, f, _ in rows_in_order], np.array([y for _, y, _, _ in rows_in_order], float), weights / weights.mean())
 
 
 def bounded(features: np.ndarray, most: int) -> np.ndarray:
@@ -161,9 +167,18 @@ def is_held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(support.unsigned_crc32(F.col(id_col)) % 4 == 2, F.lit(False))
 
 
-def with_labels(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Labelled documents with the columns doc_id, text and toxic."""
-    return docs.select("doc_id", "text").join(labels.select("doc_id", "toxic").filter("toxic is not null"), "doc_id")
+def with_labels(docs: DataFrame, labels: DataFrame, max_docs: int = 8000) -> DataFrame:
+    """A sample of labelled documents with the columns doc_id, text, toxic and stands_for.
+
+    Labels are sampled before texts are joined, so texts stay where they are: about ``max_docs`` labels are broadcast.
+    """
+    known = docs.select("doc_id").join(labels.select("doc_id", "toxic").filter("toxic is not null"), "doc_id")
+    # Documents of one id are counted each, but chosen once a label.
+    chosen = sampled(known, "doc_id", "toxic", max_docs).groupBy("doc_id", "toxic").agg(F.max("stands_for").alias("stands_for"), F.count(F.lit(1)).alias("times"))
+    copies = docs.select("doc_id").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic", "stands_for", "times").agg(F.count(F.lit(1)).alias("copies"))
+    # A label given several times counts as often.
+    again = F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), (F.col("times") / F.col("copies")).cast("int")))).alias("nth")
+    return docs.select("doc_id", "text").join(F.broadcast(copies.select("doc_id", "toxic", "stands_for", again).drop("nth")), "doc_id")
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
