@@ -57,6 +57,8 @@ SEED, THRESHOLD = 42, 2
 AT_ONCE = 1 << 16
 #: Groups up to this size are compared fully in the first round; groups beyond ``GROUP`` are cut into parts there.
 SMALL, GROUP = 8, 4096
+#: Names (of 8 bytes each) that are broadcast at most.
+BROADCAST_NAMES = 1 << 20
 #: Bytes that are kept of a shingle's hash.
 KEPT = 5
 #: Rows of a group that are compared with the whole group at once.
@@ -472,8 +474,8 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     stands = support.checkpoint(texts.groupBy("fp").agg(F.min("name").alias("name")))
     same = texts.select("fp", F.col("name").alias("v")).join(stands.withColumnRenamed("name", "u"), "fp").filter("u <> v").select("u", "v")
     close = support.checkpoint(links(stands).unionByName(same))
-    used = close.select(F.explode(F.array("u", "v")).alias("of")).distinct()
-    near = support.checkpoint(_linked_pairs(close, texts.select("name", "shingles").join(used, F.col("name") == F.col("of"), "left_semi").drop("of"), similarity))
+    near = support.checkpoint(_linked_pairs(close, _among(close, texts.select("name", "shingles")), similarity))
+    support.release(spark)
 
     # The exact way for links beyond the anchors' distance.
     common, rank, held_by = _common(texts)
@@ -534,18 +536,22 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, similarity: float, known: Dat
                 out["v"].append(v)
         return out
 
-    def among(chosen: DataFrame, rows: DataFrame) -> DataFrame:
-        used = chosen.select(F.explode(F.array("u", "v")).alias("of")).distinct()
-        return rows.join(used, F.col("name") == F.col("of"), "left_semi").drop("of")
-
-    marked = support.map_arrow(among(pairs, texts.select("name", "shingles")), marks, "name long, n int, bits binary")
+    marked = support.map_arrow(_among(pairs, texts.select("name", "shingles")), marks, "name long, n int, bits binary")
     both = pairs.join(marked.withColumnRenamed("name", "u"), "u").join(marked.select(F.col("name").alias("v"), F.col("n").alias("m"), F.col("bits").alias("other")), "v")
     left = support.checkpoint(support.map_arrow(both.select("u", "v", "n", "bits", "m", "other"), possible, "u long, v long"))
     sets = texts.select("name", "shingles")
     first = left.groupBy("v").agg(F.min("u").alias("u")).select("u", "v")
-    near = support.checkpoint(known.union(_linked_pairs(first, among(first, sets), similarity)))
+    near = support.checkpoint(known.union(_linked_pairs(first, _among(first, sets), similarity)))
     rest = support.checkpoint(_apart(left.join(first, ["u", "v"], "left_anti"), components(near)))
-    return near.union(_linked_pairs(rest, among(rest, sets), similarity))
+    return near.union(_linked_pairs(rest, _among(rest, sets), similarity))
+
+
+def _among(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The texts (with ``name``) that some pair names. Their names are broadcast if they are few, so that the other texts' sets stay where they are."""
+    used = support.checkpoint(pairs.select(F.explode(F.array("u", "v")).alias("of")).distinct())
+    if used.count() <= BROADCAST_NAMES:
+        used = F.broadcast(used)
+    return texts.join(used, F.col("name") == F.col("of"), "left_semi")
 
 
 def _apart(pairs: DataFrame, linked: DataFrame) -> DataFrame:
