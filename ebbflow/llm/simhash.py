@@ -25,7 +25,8 @@ of a sample of texts last, so passages that many texts share are seldom in a pre
 Texts that share a prefix shingle are a group; a group that the sample shows to hold more than ``GROUP`` texts is cut by a hash of the
 text into parts of about that size before the shuffle, so no task holds a hot one. The first round tests, within parts, neighbours and each text with the part's first (parts of up
 to ``SMALL`` texts fully). The second round takes all groups of more than ``SMALL`` texts that are not yet one component, and
-tests all their pairs that sizes allow and that are in different components, in pairs of blocks of about ``BLOCK`` texts; a block pair yields a forest of its links.
+tests all their pairs that sizes allow and that are in different components, in pairs of blocks of about ``BLOCK`` texts: by bitmaps, which rule out no similar pair, then by the
+sets of the texts that are left; a block pair yields a forest of its links.
 So no pair is missed, whatever a group's size. Sets hold 40 bits of each shingle's hash: two texts of a million words
 have about one false shingle in common.
 
@@ -112,9 +113,9 @@ def unpacked(data: bytes) -> np.ndarray:
     return whole.view("<u8").reshape(-1)
 
 
-def bitmap(tokens: np.ndarray) -> bytes:
-    """A bit for each token in at least four times as many places, a power of two."""
-    bits = np.zeros(max(64, support.power_of_two(4 * len(tokens))), np.uint8)
+def bitmap(tokens: np.ndarray, places: int = 0) -> bytes:
+    """A bit for each token in ``places``, a power of two; if not given, at least four times as many as tokens."""
+    bits = np.zeros(max(64, places or support.power_of_two(4 * len(tokens))), np.uint8)
     bits[(tokens & np.uint64(len(bits) - 1)).astype(np.int64)] = 1
     return np.packbits(bits, bitorder="little").tobytes()
 
@@ -370,8 +371,46 @@ def _forest(names: np.ndarray, of: np.ndarray, sets: list[np.ndarray], left: np.
     return found
 
 
+def _possible(of: np.ndarray, n: np.ndarray, bits: np.ndarray, left: np.ndarray, right: np.ndarray, similarity: float) -> np.ndarray:
+    """Which members have a partner of another component (``of``) on the other side that sizes and bitmaps (of one length) allow."""
+    ones = np.bitwise_count(bits).sum(axis=1, dtype=np.int64)
+    both = np.zeros((len(left), len(right)), np.float32)
+    for c in range(0, bits.shape[1], COLUMNS // 8):
+        dense = np.unpackbits(bits[:, c : c + COLUMNS // 8], axis=1).astype(np.float32)
+        both += dense[left] @ dense[right].T
+    hidden = n - ones
+    most = both.astype(np.int64) + np.minimum(hidden[left][:, None], hidden[right][None, :])
+    most = np.minimum(most, np.minimum(n[left][:, None], n[right][None, :]))
+    near = (most >= similarity * (n[left][:, None] + n[right][None, :] - most) - 1e-6) & (of[left][:, None] != of[right][None, :])
+    found = np.zeros(len(n), bool)
+    found[left[near.any(axis=1)]] = True
+    found[right[near.any(axis=0)]] = True
+    return found
+
+
+def _by_pair(work, keys: int = 1):
+    """Batches sorted by their first columns (``keys`` of them) to what ``work`` makes of the rows of each of their values."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, last = [], None
+        for batch in batches:
+            for row in zip(*(column.to_pylist() for column in batch.columns)):
+                if held and row[:keys] != last:
+                    yield work(held)
+                    held = []
+                last = row[:keys]
+                held.append(row)
+        if held:
+            yield work(held)
+
+    return run
+
+
 def _rest(members: DataFrame, texts: DataFrame, component: DataFrame, similarity: float) -> DataFrame:
-    """Links (u, v) of large groups (``members``: key, name, n) between texts that are not yet in one component, all pairs tested."""
+    """Links (u, v) of large groups (``members``: key, name, n) between texts that are not yet in one component, all pairs tested.
+
+    Bitmaps test the pairs first; the sets of texts that still may have a partner are moved, those of the others are not.
+    """
     workers.reach(members.sparkSession)
     spark = members.sparkSession
     labels = component.select(F.col("node").alias("named"), "component")
@@ -381,37 +420,58 @@ def _rest(members: DataFrame, texts: DataFrame, component: DataFrame, similarity
     # Sizes of similar sets differ by one class at most; a band holds a class and the one above it.
     level = F.floor(F.log(F.col("n").cast("double")) / F.lit(math.log(1.0000001 / similarity)))
     members = support.checkpoint(members.select("key", "name", "component", F.explode(F.array(level, level - 1)).alias("band")))
-    open_ = members.groupBy("key", "band").agg(F.count(F.lit(1)).alias("there"), F.min("component").alias("least"), F.max("component").alias("most")).filter("least <> most")
+    open_ = members.groupBy("key", "band").agg(
+        F.count(F.lit(1)).alias("there"), F.min("component").alias("least"), F.max("component").alias("most"),
+        F.bit_xor(F.xxhash64(F.lit(95), "name")).alias("these"), F.bit_xor(F.xxhash64(F.lit(97), "name")).alias("those"),
+    ).filter("least <> most")
+    # Near copies share many shingles: groups of the same members are compared once.
+    open_ = open_.groupBy("band", "there", "least", "most", "these", "those").agg(F.min("key").alias("key"))
     open_ = open_.select(F.col("key").alias("of"), F.col("band").alias("of_band"), F.ceil(F.col("there") / F.lit(BLOCK // 2)).cast("int").alias("blocks"))
     who = members.join(open_, (F.col("key") == F.col("of")) & (F.col("band") == F.col("of_band")))
-    who = who.select("key", "band", "name", "component", "blocks", F.pmod(F.xxhash64(F.lit(91), "name"), F.col("blocks")).cast("int").alias("block"))
+    who = support.checkpoint(who.select("key", "band", "name", "component", "blocks", F.pmod(F.xxhash64(F.lit(91), "name"), F.col("blocks")).cast("int").alias("block")))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     sent = who.select("key", "band", "name", "component", "block", other).select(
         "key", "band", "name", "component", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")
     )
-    sent = sent.join(texts.select(F.col("name").alias("named"), "shingles"), F.col("name") == F.col("named")).select(F.xxhash64("key", "band", "i", "j").alias("pair"), "i", "j", "block", "name", "component", "shingles")
+    sent = sent.select(F.xxhash64("key", "band", "i", "j").alias("pair"), "i", "j", "block", "name", "component", "band")
+    sets = _among(who.select(F.col("name").alias("u"), F.col("name").alias("v")), texts.select("name", "shingles"))
+
+    def marks(rows: dict[str, list]) -> dict[str, list]:
+        out: dict[str, list] = {n: [] for n in ("name", "of_band", "n", "bits")}
+        for name, band, data in zip(rows["name"], rows["level"], rows["shingles"]):
+            tokens = unpacked(data)
+            for of_band in (band, band - 1):
+                # One length a band, which holds sizes below this one.
+                places = support.power_of_two(4 * similarity ** -(of_band + 2))
+                for n, value in zip(out, (name, of_band, len(tokens), bitmap(tokens, places))):
+                    out[n].append(value)
+        return out
+
+    leveled = sets.withColumn("n", (F.length("shingles") / F.lit(KEPT)).cast("int"))
+    marked = support.map_arrow(leveled.select("name", level.alias("level"), "shingles"), marks, "name long, of_band long, n int, bits binary")
+    tested = sent.join(marked.withColumnRenamed("name", "named"), (F.col("name") == F.col("named")) & (F.col("band") == F.col("of_band")))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    places_of = pa.schema([(c, t) for c, t in zip(("pair", "i", "j", "block", "name", "component"), (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64()))])
+
+    def may_link(held: list[tuple]) -> pa.RecordBatch:
+        pair, _, i, j, block, name, of, n = (np.array([x[k] for x in held], np.int64) for k in range(8))
+        bits = np.frombuffer(b"".join(x[8] for x in held), np.uint8).reshape(len(held), -1)
+        kept = np.flatnonzero(_possible(of, n, bits, np.flatnonzero(block == i), np.flatnonzero(block == j), similarity))
+        return pa.RecordBatch.from_arrays([pa.array(x[kept], type=f.type) for x, f in zip((pair, i, j, block, name, of), places_of)], schema=places_of)
+
+    ready = tested.select("pair", "band", "i", "j", "block", "name", "component", "n", "bits").repartition(parts, "pair").sortWithinPartitions("pair", "band")
+    left = support.checkpoint(ready.mapInArrow(_by_pair(may_link, 2), "pair long, i int, j int, block int, name long, component long"))
+    support.release(spark)
+    sent = left.join(_among(left.select(F.col("name").alias("u"), F.col("name").alias("v")), sets.withColumnRenamed("name", "named"), "named"), F.col("name") == F.col("named"))
     arrow = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
     def batch_of(held: list[tuple]) -> pa.RecordBatch:
-        names, of = (np.array([x[k] for x in held], np.int64) for k in (3, 4))
-        i, j, block = (np.array([x[k] for x in held]) for k in range(3))
-        found = _forest(names, of, [unpacked(x[5]) for x in held], np.flatnonzero(block == i), np.flatnonzero(block == j), similarity)
+        _, i, j, block, names, of = (np.array([x[k] for x in held], np.int64) for k in range(6))
+        found = _forest(names, of, [unpacked(x[6]) for x in held], np.flatnonzero(block == i), np.flatnonzero(block == j), similarity)
         return pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], schema=arrow)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, last = [], None
-        for batch in batches:
-            for pair, *row in zip(*(batch.column(k).to_pylist() for k in range(7))):
-                if pair != last and held:
-                    yield batch_of(held)
-                    held = []
-                last = pair
-                held.append(row)
-        if held:
-            yield batch_of(held)
-
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return sent.repartition(parts, "pair").sortWithinPartitions("pair").mapInArrow(run, "u long, v long")
+    sent = sent.select("pair", "i", "j", "block", "name", "component", "shingles")
+    return sent.repartition(parts, "pair").sortWithinPartitions("pair").mapInArrow(_by_pair(batch_of), "u long, v long")
 
 
 def _common(texts: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -546,12 +606,12 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, similarity: float, known: Dat
     return near.union(_linked_pairs(rest, _among(rest, sets), similarity))
 
 
-def _among(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The texts (with ``name``) that some pair names. Their names are broadcast if they are few, so that the other texts' sets stay where they are."""
+def _among(pairs: DataFrame, texts: DataFrame, name: str = "name") -> DataFrame:
+    """The texts (by ``name``) that some pair names. Their names are broadcast if they are few, so that the other texts' sets stay where they are."""
     used = support.checkpoint(pairs.select(F.explode(F.array("u", "v")).alias("of")).distinct())
     if used.count() <= BROADCAST_NAMES:
         used = F.broadcast(used)
-    return texts.join(used, F.col("name") == F.col("of"), "left_semi")
+    return texts.join(used, F.col(name) == F.col("of"), "left_semi")
 
 
 def _apart(pairs: DataFrame, linked: DataFrame) -> DataFrame:
