@@ -496,19 +496,11 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         same = xxhash.xxh128_intdigest(b" ".join(words))
         return (same >> 64) - (1 << 63), (same & ((1 << 64) - 1)) - (1 << 63)
 
-    def name_texts(rows: dict[str, list]) -> dict[str, list]:
-        named = [name_of(words_of(t)) for t in rows["text"]]
-        return {"doc_id": rows["doc_id"], "k1": [a for a, _ in named], "k2": [b for _, b in named]}
-
     def work(rows: dict[str, list]) -> dict[str, list]:
         out: dict[str, list] = {n: [] for n in ("doc_id", "k1", "k2", "fp", "shingles")}
-        seen = set()
         for key, text in zip(rows["doc_id"], rows["text"]):
             words = words_of(text)
-            named = (*name_of(words), key)
-            if named in seen:
-                continue
-            seen.add(named)
+            named = name_of(words)
             parts: list[np.ndarray] = []
 
             def hashes() -> Iterator[np.ndarray]:
@@ -517,18 +509,16 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
                     yield x
 
             fp = int(np.uint64(majority(hashes())).view(np.int64))
-            for n, value in zip(out, (key, *named[:2], fp, packed(np.unique(np.concatenate(parts))) if parts else b"")):
+            for n, value in zip(out, (key, *named, fp, packed(np.unique(np.concatenate(parts))) if parts else b"")):
                 out[n].append(value)
         return out
 
     given = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    marked = support.written(support.map_arrow(given, name_texts, "doc_id long, k1 long, k2 long"))
-    # One row for each text, with a number of its own: documents of one id may differ in text. Sets are moved once.
-    sets = support.map_arrow(given, work, "doc_id long, k1 long, k2 long, fp long, shingles binary")
-    texts = sets.groupBy("k1", "k2").agg(F.min("doc_id").alias("least"), F.first("fp").alias("fp"), F.first("shingles").alias("shingles"))
-    texts = support.written(texts.withColumn("name", F.monotonically_increasing_id()))
-    del sets
-    support.release(spark)
+    # Each row is read once and has a number of its own; one row stands for all of its text, so that copies and sets are not moved.
+    whole = support.map_arrow(given, work, "doc_id long, k1 long, k2 long, fp long, shingles binary")
+    whole = support.written(whole.withColumn("name", F.monotonically_increasing_id()))
+    named = support.checkpoint(whole.groupBy("k1", "k2").agg(F.min("name").alias("name"), F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies")))
+    texts = _without(whole, named)
 
     # Through the anchors: one text stands for those of its fingerprint, and every link is confirmed by the sets.
     stands = support.checkpoint(texts.groupBy("fp").agg(F.min("name").alias("name")))
@@ -565,17 +555,26 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     rest = support.checkpoint(_rest(met.filter("n > 0").select(F.col("u").alias("key"), F.col("v").alias("name"), "n"), texts, linked, similarity))
     if rest.limit(1).count():
         linked = components(near.union(rest))
-    placed = texts.select("k1", "k2", "name", "least").join(linked.withColumnRenamed("node", "named"), F.col("name") == F.col("named"), "left")
+    placed = named.join(linked.withColumnRenamed("node", "named"), F.col("name") == F.col("named"), "left")
     placed = support.checkpoint(placed.select("k1", "k2", "least", F.coalesce("component", "name").alias("component")))
     ids = placed.groupBy(F.col("component").alias("of")).agg(F.min("least").alias("component_id"))
     placed = placed.join(ids, F.col("component") == F.col("of")).select(F.col("k1").alias("of1"), F.col("k2").alias("of2"), "component_id")
-    found = marked.select("doc_id", "k1", "k2").join(placed, (F.col("k1") == F.col("of1")) & (F.col("k2") == F.col("of2"))).select("doc_id", "component_id")
+    found = whole.select("doc_id", "k1", "k2").join(placed, (F.col("k1") == F.col("of1")) & (F.col("k2") == F.col("of2"))).select("doc_id", "component_id")
     found = support.checkpoint(found)
-    for table in (marked, texts, met):
+    for table in (whole, met):
         support.drop(table)
     return found
 
 
+def _without(whole: DataFrame, named: DataFrame) -> DataFrame:
+    """The rows that stand for their text. The names of all others are broadcast if they are few, so that sets stay where they are."""
+    again = whole.select("k1", "k2", F.col("name").alias("of")).join(named.filter("copies > 1").select("k1", "k2", "name"), ["k1", "k2"])
+    again = support.checkpoint(again.filter("of <> name").select("of"))
+    if again.count() <= BROADCAST_NAMES:
+        again = F.broadcast(again)
+    return whole.join(again, F.col("name") == F.col("of"), "left_anti")
+
+
 def _confirmed(pairs: DataFrame, texts: DataFrame, similarity: float, known: DataFrame) -> DataFrame:
     """Links among the pairs (u, v) that with those ``known`` connect what all similar pairs connect.
 
