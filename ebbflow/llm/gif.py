@@ -6,12 +6,13 @@ to previous) and delays. Codes are unpacked and strings expanded with array oper
 an earlier code and the byte after it, and both lie side by side in the output, so every output byte points back to an
 earlier one and pointer doubling resolves all of them at once.
 
-The encoder writes lossless 8-bit frames. It emits literal codes only and clears the table before the codes would grow, which any
-decoder reads and which needs no search; ``compress`` writes a searched LZW stream instead, which is smaller and slower.
+The encoder writes lossless 8-bit frames as searched LZW streams that use the table. ``compress=False`` emits literal codes only
+and clears the table before the codes would grow, which any decoder reads and which needs no search, but takes 9/8 of the samples.
 
 ``frames`` is the media operator: one row a frame with its delay and histogram, for a column of GIF bytes. Defined
-results: null bytes and bytes that are no GIF give one row with a null frame and ``error`` set; a stream cut short
-keeps the pixels that it has and leaves the rest at index 0; equal rows stay separate rows; an empty table gives no rows;
+results: null bytes and bytes that are no GIF give one row with a null frame and ``error`` set; a file that fails midway
+gives its frames so far and then such a row; so does one whose header declares a canvas or an image of more than
+``max_pixels`` pixels, before any memory is taken for it; a stream cut short keeps the pixels that it has and leaves the rest at index 0; equal rows stay separate rows; an empty table gives no rows;
 other columns are ignored, whatever their names.
 
 Texts as media (``op5_gif_media``): UTF-8 bytes with zeros up to a positive multiple of 64 become grey-scale samples,
@@ -37,6 +38,8 @@ WIDTH, FRAME_ROWS, DELAY = 64, 256, 10
 #: Literals between clear codes: one less than what would make 8-bit streams use 10-bit codes.
 LITERALS = 254
 MAX_CODES = 4096
+#: Pixels that a canvas or an image may have (at 4 bytes each).
+MAX_PIXELS = 1 << 24
 BINS = 8
 #: Fixed value: first row and step of the four interlace passes.
 INTERLACE = ((0, 8), (4, 8), (2, 4), (1, 2))
@@ -159,40 +162,40 @@ def lzw_literals(pixels: np.ndarray) -> bytes:
 
 
 def lzw_search(pixels: np.ndarray, size: int = 8) -> bytes:
-    """An LZW stream that uses the table."""
+    """An LZW stream that uses the table, which is cleared when it is full."""
     clear, stop = 1 << size, (1 << size) + 1
-    codes, widths = [clear], [size + 1]
+    codes, runs = [clear], []
+    emit = codes.append
     table: dict[int, int] = {}
-    entry, width, prefix = stop + 1, size + 1, -1
+    known = table.get
+    entry, prefix, begin = stop + 1, -1, 1
     for b in pixels.tolist():
         if prefix < 0:
             prefix = b
             continue
-        key = (prefix << 8) | b
-        if (known := table.get(key)) is not None:
-            prefix = known
+        key = prefix << 8 | b
+        code = known(key)
+        if code is not None:
+            prefix = code
             continue
-        codes.append(prefix)
-        widths.append(width)
+        emit(prefix)
         if entry < MAX_CODES:
             table[key] = entry
             entry += 1
-            if entry > 1 << width and width < 12:
-                width += 1
         else:
-            codes.append(clear)
-            widths.append(width)
+            emit(clear)
+            runs.append(len(codes) - begin)
+            begin = len(codes)
             table.clear()
-            entry, width = stop + 1, size + 1
+            entry = stop + 1
         prefix = b
     if prefix >= 0:
-        codes.append(prefix)
-        widths.append(width)
-        if entry < MAX_CODES and entry + 1 > 1 << width and width < 12:
-            width += 1
-    codes.append(stop)
-    widths.append(width)
-    return _pack(np.array(codes), np.array(widths))
+        emit(prefix)
+    emit(stop)
+    runs.append(len(codes) - begin)
+    # A code's width follows from its place after the clear code.
+    widths = _STARTS[size][1]
+    return _pack(np.array(codes), np.concatenate([[size + 1], *(widths[:n] for n in runs)]))
 
 
 # --- Files ----------------------------------------------------------------------------------------------------------
@@ -205,7 +208,7 @@ def _blocks(data: bytes) -> bytes:
 GREY = bytes(v for i in range(256) for v in (i, i, i))
 
 
-def write_gif(size: tuple[int, int], images: list[np.ndarray], delays: list[int], compress: bool = False, palette: bytes = GREY) -> bytes:
+def write_gif(size: tuple[int, int], images: list[np.ndarray], delays: list[int], compress: bool = True, palette: bytes = GREY) -> bytes:
     """A GIF of 8-bit images (rows by columns) at the top left of the canvas, each kept when the next is drawn."""
     out = [b"GIF89a", struct.pack("<HHBBB", *size, 0xF7, 0, 0), palette]
     for image, delay in zip(images, delays):
@@ -226,11 +229,13 @@ def _sub_blocks(data: bytes, at: int) -> tuple[bytes, int]:
     return b"".join(parts), at + 1
 
 
-def read_gif(data: bytes) -> Iterator[Frame]:
+def read_gif(data: bytes, max_pixels: int = MAX_PIXELS) -> Iterator[Frame]:
     """Composites the frames one by one."""
     if len(data) < 13 or data[:6] not in (b"GIF87a", b"GIF89a"):
         raise ValueError("not a GIF")
     width, height, flags, _, _ = struct.unpack_from("<HHBBB", data, 6)
+    if width * height > max_pixels:
+        raise ValueError(f"canvas of {width} x {height} pixels")
     at, palette = 13, None
     if flags & 0x80:
         n = 3 << ((flags & 7) + 1)
@@ -247,6 +252,8 @@ def read_gif(data: bytes) -> Iterator[Frame]:
                 disposal, clear = (bits >> 2) & 7, shown if bits & 1 else -1
         elif kind == 0x2C and at + 11 <= len(data):
             left, top, columns, rows, flags = struct.unpack_from("<HHHHB", data, at + 1)
+            if columns * rows > max_pixels:
+                raise ValueError(f"image of {columns} x {rows} pixels")
             at += 10
             own = palette
             if flags & 0x80:
@@ -290,7 +297,7 @@ def histogram(frame: Frame) -> np.ndarray:
 # --- The media operator ---------------------------------------------------------------------------------------------
 
 
-def frames(media: DataFrame, id_col: str = "media_id", bytes_col: str = "bytes") -> DataFrame:
+def frames(media: DataFrame, id_col: str = "media_id", bytes_col: str = "bytes", max_pixels: int = MAX_PIXELS) -> DataFrame:
     """One row a frame: id, frame, start_cs, delay_cs, disposal, width, height, red, green, blue (histograms), error."""
 
     def work(rows: dict[str, list]) -> dict[str, list]:
@@ -300,7 +307,7 @@ def frames(media: DataFrame, id_col: str = "media_id", bytes_col: str = "bytes")
             try:
                 if data is None:
                     raise ValueError("no bytes")
-                for f in read_gif(bytes(data)):
+                for f in read_gif(bytes(data), max_pixels):
                     counts = histogram(f).tolist()
                     for name, value in zip(out, (key, f.index, clock, f.delay_cs, f.disposal, f.canvas.shape[1], f.canvas.shape[0], *counts, None)):
                         out[name].append(value)
@@ -319,7 +326,7 @@ def frames(media: DataFrame, id_col: str = "media_id", bytes_col: str = "bytes")
     return found.withColumnRenamed("key", id_col)
 
 
-def store_payload(payload: bytes, compress: bool = False) -> bytes:
+def store_payload(payload: bytes, compress: bool = True) -> bytes:
     """Bytes, a multiple of ``WIDTH``, as a grey-scale GIF."""
     samples = np.frombuffer(payload, np.uint8).reshape(-1, WIDTH)
     images = [samples[i : i + FRAME_ROWS] for i in range(0, len(samples), FRAME_ROWS)]

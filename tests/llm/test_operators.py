@@ -383,6 +383,53 @@ def test_gif_frames_on_awkward_rows(spark):
     assert gif.frames(spark.createDataFrame([], "media_id bigint, bytes binary")).count() == 0
 
 
+def test_gif_sizes_are_bounded(spark):
+    good = gif.store_payload(bytes(range(64)) * 300)
+    huge = good[:6] + b"\xff" * 4 + good[10:]
+    second = good.rindex(b"\x2c" + np.array([0, 0, 64, 44], "<u2").tobytes())
+    midway = good[: second + 5] + b"\xff" * 4 + good[second + 9 :]
+    found = gif.frames(spark.createDataFrame([(1, huge), (2, midway)], "media_id bigint, bytes binary")).orderBy("media_id", F.col("error").isNotNull()).collect()
+    assert [(r["media_id"], r["frame"], bool(r["error"])) for r in found] == [(1, None, True), (2, 0, False), (2, None, True)]
+    assert gif.frames(spark.createDataFrame([(1, good)], "media_id bigint, bytes binary"), max_pixels=100).collect()[0]["error"]
+
+
+def plain_gif(data):
+    """The samples of a grey-scale GIF without interlace, code by code from a dictionary, and how many codes were entries of the table."""
+    at, out, entries = 13 + 768, b"", 0
+    while data[at] != 0x3B:
+        assert data[at : at + 2] == b"\x21\xf9"
+        at += 8
+        assert data[at] == 0x2C and data[at + 9] == 0 and data[at + 10] == 8
+        at += 11
+        body = b""
+        while data[at]:
+            body += data[at + 1 : at + 1 + data[at]]
+            at += 1 + data[at]
+        at += 1
+        stream, place, width, last, table = int.from_bytes(body, "little"), 0, 9, None, {}
+        while (code := stream >> place & ((1 << width) - 1)) != 257:
+            place += width
+            if code == 256:
+                table, width, last = {b: bytes([b]) for b in range(256)} | {256: b"", 257: b""}, 9, None
+                continue
+            entries += code > 257
+            got = table.get(code, None if last is None else last + last[:1])
+            if last is not None and len(table) < 4096:
+                table[len(table)] = last + got[:1]
+            out, last = out + got, got
+            width += len(table) == 1 << width and width < 12
+    return out, entries
+
+
+def test_gif_stored_form_is_read_by_a_plain_decoder():
+    rng = np.random.default_rng(3)
+    for payload in (bytes(64), b"the quick brown fox " * 64, rng.integers(0, 256, 64 * 700).astype(np.uint8).tobytes(), rng.integers(97, 101, 64 * 2000).astype(np.uint8).tobytes()):
+        stored = gif.store_payload(payload)
+        found, entries = plain_gif(stored)
+        assert found == payload and gif.load_payload(stored)[0] == payload and entries
+        assert plain_gif(gif.store_payload(payload, compress=False)) == (payload, 0)
+
+
 def test_gif_payload_query(spark, tmp_path, awkward):
     awkward.select("doc_id", "text").write.parquet(f"{tmp_path}/documents.parquet")
     text = {i: t for i, t, *_ in AWKWARD}
@@ -392,6 +439,9 @@ def test_gif_payload_query(spark, tmp_path, awkward):
         raw = (text[r["doc_id"]] or "").encode()
         padded = raw + bytes(-len(raw) % 64 if raw else 64)
         assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(raw), len(padded), hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-64:]))
+        stored = gif.store_payload(padded)
+        assert (r["media_bytes"], r["media_sha256"]) == (len(stored), hashlib.sha256(stored).hexdigest())
+        assert [int(x) for x in r["feature"].split()] == np.bincount(np.frombuffer(padded, np.uint8) // 32, minlength=8).tolist()
 
 
 # --- 6 top-k ---
