@@ -250,7 +250,7 @@ def links(distinct: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
 
     sent = support.map_arrow(distinct.select("fp", "name"), replicate, "anchor long, fp long, name long")
     parts = max(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    return sent.repartition(parts, "anchor").sortWithinPartitions("anchor", "fp").mapInArrow(compare, "u long, v long")
+    return sent.repartition(parts, "anchor").sortWithinPartitions("anchor", "fp").mapInArrow(support.eased(compare), "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, threshold: int = THRESHOLD) -> DataFrame:
@@ -307,7 +307,7 @@ def _meet(keyed: DataFrame, similarity: float) -> DataFrame:
 
     parts = int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = keyed.repartition(parts, "key", "part").sortWithinPartitions("key", "part", F.xxhash64("key", "name"))
-    return dealt.mapInArrow(run, "u long, v long, n int")
+    return dealt.mapInArrow(support.eased(run), "u long, v long, n int")
 
 
 def _linked_pairs(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -460,7 +460,7 @@ def _rest(members: DataFrame, texts: DataFrame, component: DataFrame, similarity
         return pa.RecordBatch.from_arrays([pa.array(x[kept], type=f.type) for x, f in zip((pair, i, j, block, name, of), places_of)], schema=places_of)
 
     ready = tested.select("pair", "band", "i", "j", "block", "name", "component", "n", "bits").repartition(parts, "pair").sortWithinPartitions("pair", "band")
-    left = support.checkpoint(ready.mapInArrow(_by_pair(may_link, 2), "pair long, i int, j int, block int, name long, component long"))
+    left = support.checkpoint(ready.mapInArrow(support.eased(_by_pair(may_link, 2)), "pair long, i int, j int, block int, name long, component long"))
     support.release(spark)
     sent = left.join(_among(left.select(F.col("name").alias("u"), F.col("name").alias("v")), sets.withColumnRenamed("name", "named"), "named"), F.col("name") == F.col("named"))
     arrow = pa.schema([("u", pa.int64()), ("v", pa.int64())])
@@ -471,7 +471,7 @@ def _rest(members: DataFrame, texts: DataFrame, component: DataFrame, similarity
         return pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], schema=arrow)
 
     sent = sent.select("pair", "i", "j", "block", "name", "component", "shingles")
-    return sent.repartition(parts, "pair").sortWithinPartitions("pair").mapInArrow(_by_pair(batch_of), "u long, v long")
+    return sent.repartition(parts, "pair").sortWithinPartitions("pair").mapInArrow(support.eased(_by_pair(batch_of)), "u long, v long")
 
 
 def _common(texts: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import math
 import tempfile
@@ -20,6 +21,9 @@ from ebbflow import workers
 #: Words of the digest contracts: runs of characters other than space and U+0009 to U+000D.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
+#: Bytes of input rows that a worker turns into Python objects at once.
+SLICE = 4 << 20
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A whole input table; only Spark opens the path, so it may lie in any store that Spark can read."""
@@ -103,20 +107,52 @@ def free_names(df: DataFrame, *wanted: str) -> list[str]:
     return found
 
 
+def enter(step: str) -> None:
+    """Lets go of what a worker remembered in an earlier step."""
+    if _KEPT.get("step") != step:
+        _KEPT.clear()
+        _KEPT["step"] = step
+
+
+def ease() -> None:
+    """Gives the memory that a finished partition has left free back to the machine; workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def eased(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` as a step of its own, and then ``ease``."""
+    step = fresh()
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter(step)
+        yield from run(batches)
+        ease()
+
+    return wrapped
+
+
 def map_arrow(df: DataFrame, work: Callable[[dict[str, list]], dict[str, list]], schema: str) -> DataFrame:
     """Applies ``work`` to batches of columns given as Python lists; Arrow carries the batches.
 
-    A batch holds as many rows and bytes as the session's Arrow limits allow, so memory doesn't grow with a partition.
+    ``work`` gets rows of about ``SLICE`` bytes at once, or one longer row, so memory doesn't grow with a partition.
     """
     workers.reach(df.sparkSession)
     out = StructType.fromDDL(schema)
     arrow = to_arrow_schema(out)
+    step = fresh()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter(step)
         for batch in batches:
-            if batch.num_rows:
-                got = work({n: batch.column(i).to_pylist() for i, n in enumerate(batch.schema.names)})
+            rows = max(1, batch.num_rows * SLICE // max(batch.nbytes, 1))
+            for at in range(0, batch.num_rows, rows):
+                part = batch.slice(at, rows)
+                got = work({n: part.column(i).to_pylist() for i, n in enumerate(batch.schema.names)})
                 yield pa.RecordBatch.from_arrays([pa.array(got[f.name], type=f.type) for f in arrow], schema=arrow)
+        ease()
 
     return df.mapInArrow(run, out)
 
@@ -135,6 +171,8 @@ def once(name: str, build: Callable[[], object]):
     Only the latest is kept: a worker that goes on to another operator lets go of what the one before remembered.
     """
     if name not in _KEPT:
+        step = _KEPT.get("step")
         _KEPT.clear()
+        _KEPT["step"] = step
         _KEPT[name] = build()
     return _KEPT[name]
