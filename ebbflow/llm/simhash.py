@@ -482,9 +482,10 @@ def _common(texts: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
     some = texts.filter(F.pmod(F.xxhash64(F.lit(93), "k1"), F.lit(COUNTED_IN)) == 0).select("shingles")
     counted = support.map_arrow(some, work, "token long").groupBy("token").agg(F.count(F.lit(1)).alias("times")).filter(F.col("times") >= LEAST_COUNT)
-    found = counted.orderBy(F.desc("times"), "token").limit(COMMON).collect()
-    found = sorted((r["token"], k, r["times"] * COUNTED_IN) for k, r in enumerate(reversed(found)))
-    return np.array([t for t, _, _ in found], np.uint64), np.array([k for _, k, _ in found], np.uint64), np.array([n for _, _, n in found], np.int64)
+    found = counted.orderBy(F.desc("times"), "token").limit(COMMON).toArrow()
+    token, times = (found[c].to_numpy() for c in ("token", "times"))
+    at = np.argsort(token)
+    return token[at].astype(np.uint64), (len(token) - 1 - at).astype(np.uint64), times[at] * COUNTED_IN
 
 
 def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:

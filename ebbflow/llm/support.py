@@ -76,7 +76,7 @@ def release(spark: SparkSession) -> None:
     Spark does so when the driver's JVM collects the references, which a large heap may put off for half an hour.
     """
     gc.collect()
-    pa.default_memory_pool().release_unused()
+    ease()
     spark._jvm.java.lang.System.gc()
 
 
