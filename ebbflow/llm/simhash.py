@@ -58,8 +58,8 @@ SEED, THRESHOLD = 42, 2
 AT_ONCE = 1 << 16
 #: Groups up to this size are compared fully in the first round; groups beyond ``GROUP`` are cut into parts there.
 SMALL, GROUP = 8, 4096
-#: Names (of 8 bytes each) that are broadcast at most.
-BROADCAST_NAMES = 1 << 20
+#: Names that a block of marks covers (a bit each), as a power of two, and the blocks that are broadcast at most.
+BLOCK_BITS, BROADCAST_BLOCKS = 13, 1 << 14
 #: Bytes that are kept of a shingle's hash.
 KEPT = 5
 #: Rows of a group that are compared with the whole group at once.
@@ -515,6 +515,7 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         return out
 
     given = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
+    support.release(spark)
     # Each row is read once and has a number of its own; one row stands for all of its text, so that copies and sets are not moved.
     whole = support.map_arrow(given, work, "doc_id long, k1 long, k2 long, fp long, shingles binary")
     whole = support.written(whole.withColumn("name", F.monotonically_increasing_id()))
@@ -568,12 +569,9 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
 
 def _without(whole: DataFrame, named: DataFrame) -> DataFrame:
-    """The rows that stand for their text. The names of all others are broadcast if they are few, so that sets stay where they are."""
+    """The rows that stand for their text. Only marks of all others are moved, so that sets stay where they are."""
     again = whole.select("k1", "k2", F.col("name").alias("of")).join(named.filter("copies > 1").select("k1", "k2", "name"), ["k1", "k2"])
-    again = support.checkpoint(again.filter("of <> name").select("of"))
-    if again.count() <= BROADCAST_NAMES:
-        again = F.broadcast(again)
-    return whole.join(again, F.col("name") == F.col("of"), "left_anti")
+    return _marked(whole, again.filter("of <> name").select("of"), "left_anti")
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, similarity: float, known: DataFrame) -> DataFrame:
@@ -607,11 +605,24 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, similarity: float, known: Dat
 
 
 def _among(pairs: DataFrame, texts: DataFrame, name: str = "name") -> DataFrame:
-    """The texts (by ``name``) that some pair names. Their names are broadcast if they are few, so that the other texts' sets stay where they are."""
-    used = support.checkpoint(pairs.select(F.explode(F.array("u", "v")).alias("of")).distinct())
-    if used.count() <= BROADCAST_NAMES:
-        used = F.broadcast(used)
-    return texts.join(used, F.col(name) == F.col("of"), "left_semi")
+    """The texts (by ``name``) that some pair names. Only marks of their names are moved, so that the other texts' sets stay where they are."""
+    return _marked(texts, pairs.select(F.explode(F.array("u", "v")).alias("of")), "left_semi", name)
+
+
+def _marked(rows: DataFrame, names: DataFrame, how: str, name: str = "name") -> DataFrame:
+    """The rows whose ``name`` is among ``names`` (``left_semi``), or the others (``left_anti``).
+
+    Names number the rows of each partition, so a bit for each, in blocks of neighbours, says which are meant: the driver holds
+    an eighth of a byte a row, however many are named. Beyond ``BROADCAST_BLOCKS`` the names are joined without a broadcast.
+    """
+    place = lambda x: F.col(x).bitwiseAND(F.lit((1 << BLOCK_BITS) - 1)).cast("int")
+    bits = F.substring(F.bitmap_construct_agg(place("of").cast("long")), 1, 1 << BLOCK_BITS - 3)
+    blocks = support.checkpoint(names.groupBy(F.shiftright("of", BLOCK_BITS).alias("block_at")).agg(bits.alias("block_bits")))
+    if blocks.count() > BROADCAST_BLOCKS:
+        return rows.join(names.distinct(), F.col(name) == F.col("of"), how)
+    byte = F.conv(F.hex(F.substring("block_bits", F.shiftright(place(name), 3) + 1, F.lit(1))), 16, 10).cast("int")
+    marked = F.getbit(byte, place(name).bitwiseAND(F.lit(7))) == 1
+    return rows.join(F.broadcast(blocks), (F.shiftright(name, BLOCK_BITS) == F.col("block_at")) & marked, how)
 
 
 def _apart(pairs: DataFrame, linked: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ import weakref
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -78,6 +79,23 @@ def release(spark: SparkSession) -> None:
     gc.collect()
     ease()
     spark._jvm.java.lang.System.gc()
+    trim(spark)
+
+
+def trim(spark: SparkSession) -> bool:
+    """Gives what the driver's JVM has freed outside its heap (threads, compilers, codecs) back to the machine; false where it has no such command."""
+    jvm, gateway = spark._jvm, spark.sparkContext._gateway
+    of = jvm.java.lang.Class.forName
+    kinds, values = gateway.new_array(jvm.java.lang.Class, 4), gateway.new_array(jvm.java.lang.Object, 4)
+    for i, kind in enumerate(("javax.management.ObjectName", "java.lang.String", "[Ljava.lang.Object;", "[Ljava.lang.String;")):
+        kinds[i] = of(kind)
+    values[0], values[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+    try:
+        # By the interface: the server's own class is not open to callers.
+        of("javax.management.MBeanServer").getMethod("invoke", kinds).invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), values)
+    except Py4JError:
+        return False
+    return True
 
 
 def delete(spark: SparkSession, path: str) -> None:

@@ -648,3 +648,23 @@ def test_bitmaps_never_rule_out_a_similar_pair():
             both = len(np.intersect1d(a, b))
             bound = simhash.most_common(len(a), simhash.bitmap(a), len(b), simhash.bitmap(b))
             assert both <= bound <= min(len(a), len(b)) and (keep != 0.5 or n < 1000 or bound < 0.8 * len(a))
+
+
+def test_names_of_rows_are_broadcast_as_bits(spark, monkeypatch):
+    """What the driver holds of the rows that pairs name is a bit a row, however many are named; beyond the limit nothing is broadcast."""
+    rows = spark.range(0, 60_000, 1, 7).select(F.monotonically_increasing_id().alias("name"), "id")
+    names = [r["name"] for r in rows.collect()]
+    held = []
+    broadcast = F.broadcast
+    monkeypatch.setattr(simhash.F, "broadcast", lambda df: held.append(df.count()) or broadcast(df))
+    for chosen in ([], names[3:9], random.Random(4).sample(names, 40_000), names):
+        pairs = spark.createDataFrame([(x, x) for x in chosen], "u bigint, v bigint")
+        assert sorted(r["name"] for r in simhash._among(pairs, rows).collect()) == sorted(chosen)
+        assert held.pop() <= 14 and not held
+    monkeypatch.setattr(simhash, "BROADCAST_BLOCKS", 1)
+    assert sorted(r["name"] for r in simhash._among(pairs, rows).collect()) == sorted(names) and not held
+
+
+def test_release_gives_the_memory_of_the_driver_outside_its_heap_back(spark):
+    support.release(spark)
+    assert support.trim(spark)
