@@ -49,7 +49,7 @@ from pyspark.sql import functions as F
 
 from ebbflow import workers
 from ebbflow.llm import support
-from ebbflow.llm.components import components
+from ebbflow.llm.components import components, extended
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -58,6 +58,8 @@ SEED, THRESHOLD = 42, 2
 AT_ONCE = 1 << 16
 #: Groups up to this size are compared fully in the first round; groups beyond ``GROUP`` are cut into parts there.
 SMALL, GROUP = 8, 4096
+#: Orders in which the first round puts the members of groups; each key has one of them.
+ORDERS = 32
 #: Names that a block of marks covers (a bit each), as a power of two, and the blocks that are broadcast at most.
 BLOCK_BITS, BROADCAST_BLOCKS = 13, 1 << 14
 #: Bytes that are kept of a shingle's hash.
@@ -270,7 +272,8 @@ def _meet(keyed: DataFrame, similarity: float) -> DataFrame:
     Pairs whose sizes rule out the similarity are left out.
 
     All pairs of small groups; of larger ones, neighbours by a hash and each member with the first of its part. One pass
-    serves both, so keys, most of which one text alone has, are moved once and never stored.
+    serves both, so keys, most of which one text alone has, are moved once and never stored. The hash has ``ORDERS`` forms:
+    near copies share many keys, and an order for each key would pair each of them with as many others.
     """
     arrow = pa.schema([("u", pa.int64()), ("v", pa.int64()), ("n", pa.int32())])
 
@@ -306,7 +309,7 @@ def _meet(keyed: DataFrame, similarity: float) -> DataFrame:
         yield rows(*held)
 
     parts = int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = keyed.repartition(parts, "key", "part").sortWithinPartitions("key", "part", F.xxhash64("key", "name"))
+    dealt = keyed.repartition(parts, "key", "part").sortWithinPartitions("key", "part", F.xxhash64(F.pmod("key", F.lit(ORDERS)), "name"))
     return dealt.mapInArrow(support.eased(run), "u long, v long, n int")
 
 
@@ -551,12 +554,11 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     pairs = support.checkpoint(met.filter("n = 0").select("u", "v").distinct())
     del keyed
     support.release(spark)
-    near = support.checkpoint(_confirmed(pairs, texts, similarity, near))
+    linked = _confirmed(pairs, texts, similarity, near)
     support.release(spark)
-    linked = components(near)
     rest = support.checkpoint(_rest(met.filter("n > 0").select(F.col("u").alias("key"), F.col("v").alias("name"), "n"), texts, linked, similarity))
     if rest.limit(1).count():
-        linked = components(near.union(rest))
+        linked = extended(linked, rest)
     placed = named.join(linked.withColumnRenamed("node", "named"), F.col("name") == F.col("named"), "left")
     placed = support.checkpoint(placed.select("k1", "k2", "least", F.coalesce("component", "name").alias("component")))
     ids = placed.groupBy(F.col("component").alias("of")).agg(F.min("least").alias("component_id"))
@@ -575,7 +577,7 @@ def _without(whole: DataFrame, named: DataFrame) -> DataFrame:
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, similarity: float, known: DataFrame) -> DataFrame:
-    """Links among the pairs (u, v) that with those ``known`` connect what all similar pairs connect.
+    """What the similar ones among the pairs (u, v) and the links ``known`` connect: (node, component).
 
     Shingle sets are large, so few of them are moved: bitmaps, a tenth of the size, rule out most pairs that are not
     similar. Then each text is confirmed with one partner, and further pairs only where that leaves them in different components.
@@ -599,9 +601,9 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, similarity: float, known: Dat
     left = support.checkpoint(support.map_arrow(both.select("u", "v", "n", "bits", "m", "other"), possible, "u long, v long"))
     sets = texts.select("name", "shingles")
     first = left.groupBy("v").agg(F.min("u").alias("u")).select("u", "v")
-    near = support.checkpoint(known.union(_linked_pairs(first, _among(first, sets), similarity)))
-    rest = support.checkpoint(_apart(left.join(first, ["u", "v"], "left_anti"), components(near)))
-    return near.union(_linked_pairs(rest, _among(rest, sets), similarity))
+    linked = components(support.checkpoint(known.union(_linked_pairs(first, _among(first, sets), similarity))))
+    rest = support.checkpoint(_apart(left.join(first, ["u", "v"], "left_anti"), linked))
+    return extended(linked, support.checkpoint(_linked_pairs(rest, _among(rest, sets), similarity)))
 
 
 def _among(pairs: DataFrame, texts: DataFrame, name: str = "name") -> DataFrame:

@@ -668,3 +668,56 @@ def test_names_of_rows_are_broadcast_as_bits(spark, monkeypatch):
 def test_release_gives_the_memory_of_the_driver_outside_its_heap_back(spark):
     support.release(spark)
     assert support.trim(spark)
+
+
+def rows_joined(spark, work):
+    """How many rows the joins of ``work`` made, by Spark's own counts."""
+    store, bus = spark._jsparkSession.sharedState().statusStore(), spark.sparkContext._jsc.sc().listenerBus()
+    each = lambda seq: [seq.apply(i) for i in range(seq.size())]
+    bus.waitUntilEmpty()
+    seen = {x.executionId() for x in each(store.executionsList())}
+    work()
+    bus.waitUntilEmpty()
+    made = 0
+    for run in (x.executionId() for x in each(store.executionsList()) if x.executionId() not in seen):
+        values = store.executionMetrics(run)
+        for node in each(store.planGraph(run).allNodes()):
+            for metric in each(node.metrics()) if "Join" in node.name() else []:
+                if metric.name() == "number of output rows" and (found := values.get(metric.accumulatorId())).isDefined():
+                    made += int(found.get().replace(",", ""))
+    return made
+
+
+def test_components_join_each_edge_about_once(spark):
+    """Dense groups are done with after a round, however many rounds a long chain beside them needs."""
+    rng = random.Random(3)
+    pairs = list({tuple(sorted(rng.sample(range(1000 * g, 1000 * g + 100), 2))) for g in range(4) for _ in range(1000)})
+    chain = list(range(9000, 9100))
+    rng.shuffle(chain)
+    edges = support.checkpoint(spark.createDataFrame(pairs + list(zip(chain, chain[1:])), "u bigint, v bigint"))
+    got = {}
+    made = rows_joined(spark, lambda: got.update({r["node"]: r["component"] for r in components.components(edges).collect()}))
+    ids = {x for p in pairs for x in p} | set(chain)
+    assert got == classes(ids, [*pairs, *zip(chain, chain[1:])])
+    assert len(pairs) <= made <= 3.5 * len(pairs)
+
+
+def test_components_extended_by_edges(spark):
+    rng = random.Random(5)
+    for n in (0, 3, 40, 90):
+        one, two = ([(rng.randrange(100), rng.randrange(100)) for _ in range(k)] for k in (n, 90 - n))
+        known = components.components(spark.createDataFrame(one, "u bigint, v bigint"))
+        got = {r["node"]: r["component"] for r in components.extended(known, spark.createDataFrame(two, "u bigint, v bigint")).collect()}
+        ids = {x for a, b in one + two if a != b for x in (a, b)}
+        assert got == classes(ids, [p for p in one + two if p[0] != p[1]])
+
+
+def test_first_round_pairs_grow_with_a_group_and_not_with_its_square(spark):
+    """Near copies share many prefix shingles, each of which makes them a group."""
+    found = []
+    for n in (400, 800):
+        keyed = spark.range(400).selectExpr("xxhash64(id) as key").crossJoin(spark.range(n).selectExpr("id as name")).selectExpr("key", "0 as part", "name", "2000 as n")
+        met = simhash._meet(keyed, 0.8)
+        found.append(met.filter("n = 0").select("u", "v").distinct().count())
+        assert met.filter("n > 0").count() == 400 * n
+    assert found[0] >= 399 and found[1] <= 2.5 * found[0]
